@@ -33,10 +33,8 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import chunks, mix64, shingle_set, text_buffers, word_hashes
-from .shared import keep, partitions_for, prepare
+from .shared import BROADCAST_IDS, keep, partitions_for, prepare, without
 
-#: Ids up to this many are sent to all executors to filter texts; beyond it the texts are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 _OFFER = (2, 8, 64, None)
 
 
@@ -245,6 +243,19 @@ def _confirm(docs: DataFrame, pairs: DataFrame, forest: Forest) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def one_of_each(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
+    """``docs`` with one document of each group: the smallest id; repeated rows of an id become one row.
+
+    Rows with a null id stay.  Columns, whatever their names, pass through.
+    """
+    found = keep(near_duplicates(docs, forest), "near-duplicates")
+    rest = without(docs, found.where("not kept").select("doc_id"))
+    again = keep(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return rest
+    return without(rest, again).unionByName(rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
 def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id of its group), kept."""
     spark = prepare(docs.sparkSession)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, language, quality, templates
 from .neardup import Forest, near_duplicates
-from .shared import table
+from .shared import crc_bucket, table
 
 NEAR_COPIES = Forest(words=3, numerator=85, denominator=100)
 
@@ -37,5 +38,43 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id, s.doc_i
 FROM sets s JOIN label l USING (doc_id)
 """
 
-QUERIES = {"op2_minhash_forest": op2_minhash_forest}
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer file; every executor has the same installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_segmentation_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    model = language.train(docs.where(crc_bucket("doc_id", 4) != 2), tokenizer("piece_bpe_32k.model"))
+    return language.identify(docs, model).select("doc_id", held, "lang_pred", "score")
+
+
+def op7_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(crc_bucket("doc_id", 5) != 0)
+    scored = quality.score_quality(docs, quality.train(docs, labels))
+    held = F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.encode_decode(docs, tokenizer("word_bpe_49k.json")))
+
+
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return templates.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op2_minhash_forest": op2_minhash_forest,
+    "op5_segmentation_language_id": op5_segmentation_language_id,
+    "op7_attention_mil_quality": op7_attention_mil_quality,
+    "op8_rank_array_bpe": op8_rank_array_bpe,
+    "op10_template_decontamination": op10_template_decontamination,
+}
 ORACLES = {"op2_minhash_forest": OP2_SQL}
