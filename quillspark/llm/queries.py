@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, quality, templates
+from . import ann, bpe, language, quality, templates, warc
 from .neardup import Forest, near_duplicates
 from .shared import crc_bucket, table
 
@@ -38,6 +38,28 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id, s.doc_i
 FROM sets s JOIN label l USING (doc_id)
 """
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("id"), F.col("url").alias("uri"), F.col("html").alias("payload"))
+    back = warc.round_trip(pages)
+    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+o AS (SELECT d, n, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY d, n)
+SELECT p.page_id, p.n AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN p.page_id < o.last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id < o.last THEN o.last END AS refers_to
+FROM p LEFT JOIN o ON p.d = o.d AND p.n = o.n
+"""
+
+
+def op6_balanced_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
+    found = ann.search(rows, rows.where("id % 20 = 0"), 20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def tokenizer(name: str) -> str:
     """Place of a public tokenizer file; every executor has the same installation."""
     import public_tokenizers
@@ -71,10 +93,12 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {
+    "op1_warc_revisits": op1_warc_revisits,
+    "op6_balanced_postings": op6_balanced_postings,
     "op2_minhash_forest": op2_minhash_forest,
     "op5_segmentation_language_id": op5_segmentation_language_id,
     "op7_attention_mil_quality": op7_attention_mil_quality,
     "op8_rank_array_bpe": op8_rank_array_bpe,
     "op10_template_decontamination": op10_template_decontamination,
 }
-ORACLES = {"op2_minhash_forest": OP2_SQL}
+ORACLES = {"op1_warc_revisits": OP1_SQL, "op2_minhash_forest": OP2_SQL}
