@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, language, quality, templates, warc
+from . import ann, bpe, language, lm, quality, templates, warc
 from .neardup import Forest, near_duplicates
 from .shared import crc_bucket, table
 
@@ -67,6 +67,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_log_frequency_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = lm.train(docs.where(crc_bucket("doc_id", 5) != 1))
+    held = F.coalesce(crc_bucket("doc_id", 5) == 1, F.lit(False)).alias("held_out")
+    return lm.score(docs, model, counts).select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_segmentation_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out")
@@ -96,6 +103,7 @@ QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op6_balanced_postings": op6_balanced_postings,
     "op2_minhash_forest": op2_minhash_forest,
+    "op4_log_frequency_bloom_lm": op4_log_frequency_bloom_lm,
     "op5_segmentation_language_id": op5_segmentation_language_id,
     "op7_attention_mil_quality": op7_attention_mil_quality,
     "op8_rank_array_bpe": op8_rank_array_bpe,
