@@ -130,3 +130,31 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     if len(words) < size:
         return np.array([fold(words)], dtype=np.uint64)
     return np.unique(window_hashes(words, size))
+
+
+_PUNCT = np.zeros(256, dtype=bool)
+_PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_PLAIN_VALUE = np.where(_PUNCT, np.uint64(0), _BYTE_VALUE)
+
+
+def plain_words(offsets: np.ndarray, raw: np.ndarray):
+    """Words without their ASCII punctuation: hash, letters left, first byte, bytes with punctuation; and word offsets (n + 1)."""
+    n, none = len(raw), np.zeros(0, dtype=np.int64)
+    if n == 0:
+        return none.astype(np.uint64), none, none, none, np.zeros(len(offsets), dtype=np.int64)
+    inside = ~_SPACE[raw]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = offsets[:-1][offsets[:-1] < n]
+    begins[edges] = inside[edges]
+    starts = np.flatnonzero(begins)
+    rows = np.searchsorted(starts, offsets)
+    if not len(starts):
+        return none.astype(np.uint64), none, none, none, rows
+    first, spans = int(starts[0]), np.diff(np.append(starts, n))
+    body, at = raw[first:], starts - starts[0]
+    kept = inside[first:] & ~_PUNCT[body]
+    rank = np.cumsum(kept, dtype=np.int32)
+    place = np.maximum(rank - 1 - np.repeat(rank[at] - kept[at], spans), 0)
+    hashes = mix64(np.add.reduceat(_PLAIN_VALUE[body] * _powers(int(spans.max()))[place], at) + _STEP)
+    return hashes, np.add.reduceat(kept, at, dtype=np.int64), starts, np.add.reduceat(inside[first:], at, dtype=np.int64), rows

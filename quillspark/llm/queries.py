@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, language, lm, quality, templates, warc
+from . import ann, bpe, language, lm, quality, templates, toxicity, warc
 from .neardup import Forest, near_duplicates
 from .shared import crc_bucket, table
 
@@ -94,6 +94,14 @@ def op8_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, tokenizer("word_bpe_49k.json")))
 
 
+def op9_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(crc_bucket("doc_id", 3) != 1)
+    scored = toxicity.score_toxicity(docs, toxicity.train(docs, labels))
+    held = F.coalesce(crc_bucket("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return templates.contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -107,6 +115,7 @@ QUERIES = {
     "op5_segmentation_language_id": op5_segmentation_language_id,
     "op7_attention_mil_quality": op7_attention_mil_quality,
     "op8_rank_array_bpe": op8_rank_array_bpe,
+    "op9_bigru_toxicity": op9_bigru_toxicity,
     "op10_template_decontamination": op10_template_decontamination,
 }
 ORACLES = {"op1_warc_revisits": OP1_SQL, "op2_minhash_forest": OP2_SQL}
