@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, language, lm, quality, templates, toxicity, warc
+from . import ann, bpe, edits, language, lm, quality, templates, toxicity, warc
 from .neardup import Forest, near_duplicates
 from .shared import crc_bucket, table
 
@@ -67,6 +67,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return edits.edit_aware_counts(docs, tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_log_frequency_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model, counts = lm.train(docs.where(crc_bucket("doc_id", 5) != 1))
@@ -111,6 +118,7 @@ QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op6_balanced_postings": op6_balanced_postings,
     "op2_minhash_forest": op2_minhash_forest,
+    "op3_edit_aware_counts": op3_edit_aware_counts,
     "op4_log_frequency_bloom_lm": op4_log_frequency_bloom_lm,
     "op5_segmentation_language_id": op5_segmentation_language_id,
     "op7_attention_mil_quality": op7_attention_mil_quality,
