@@ -9,11 +9,12 @@ the forest are compared at a deeper prefix than sparse ones.  Runs of wholly
 equal signatures are walked in overlapping windows.
 
 Inside a region, texts whose signatures agree enough are candidates.  Not all
-pairs are needed for groups: each text first offers its best few candidates,
-those are confirmed on full shingle sets, and later rounds offer more, but only
-towards other groups, until every candidate is confirmed, refuted or inside one
-group.  So no candidate is dropped, and a large group of copies costs a few
-pairs per text, not all pairs.
+pairs are needed for groups: each text first offers its best few candidates, and
+those are confirmed on full shingle sets.  Regions in which more was to be offered
+and which still hold several groups are then taken whole: every pair of texts of
+different groups there is compared on full sets (bounded by ``region`` rows), and
+one link is kept of a text to each other group.  So no candidate is dropped, and
+a large group of copies gives a few pairs per text, not all pairs.
 
 Defined results: null and empty texts have an empty set and are linked with
 nothing; texts with fewer words than a shingle have one shingle, the whole
@@ -24,7 +25,7 @@ read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,12 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import chunks, mix64, shingle_set, text_buffers, word_hashes
-from .shared import BROADCAST_IDS, keep, partitions_for, prepare, without
+from .shared import keep, partitions_for, prepare, small, without
 
-_OFFER = (2, 8, 64, None)
+#: Candidates that each text offers first.
+OFFER = 2
+#: Sets of more shingles don't travel with their regions; their pairs are confirmed on texts.
+LARGE_SET = 20_000
 
 
 @dataclass(frozen=True)
@@ -49,6 +53,7 @@ class Forest:
     orders: int = 32
     min_depth: int = 5
     region: int = 384
+    detail: int = 512
     seed: int = 11
 
     @property
@@ -133,15 +138,11 @@ def _regions(shared: np.ndarray, forest: Forest):
             todo += [(int(a), int(b), depth + 1) for a, b in zip(inner[:-1], inner[1:]) if b - a > 1]
 
 
-def _partners(sig: np.ndarray, ids: np.ndarray, least: int, limit: int | None, group: np.ndarray | None = None):
+def _partners(sig: np.ndarray, ids: np.ndarray, least: int, limit: int):
     """Directed candidates of one region: (from, to, equal slots), the best ``limit`` for each row; and whether any were left over."""
     equal = (sig[:, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.int32)
     ok = (equal >= least) & (ids[:, None] != ids[None, :])
-    if group is not None:
-        ok &= group[:, None] != group[None, :]
     a, b = np.nonzero(ok)
-    if limit is None or not len(a):
-        return ids[a], ids[b], equal[a, b], False
     order = np.lexsort((ids[b], -equal[a, b], a))
     a, b = a[order], b[order]
     rank = np.arange(len(a)) - np.searchsorted(a, a)
@@ -149,7 +150,7 @@ def _partners(sig: np.ndarray, ids: np.ndarray, least: int, limit: int | None, g
     return ids[a[keep_]], ids[b[keep_]], equal[a, b][keep_], not keep_.all()
 
 
-_OFFERS = "kind int, a long, b long, equal int, sig binary"
+_OFFERS = "kind int, a long, b long, equal int"
 
 
 def _walk(orders: DataFrame, forest: Forest) -> DataFrame:
@@ -169,28 +170,26 @@ def _walk(orders: DataFrame, forest: Forest) -> DataFrame:
         prefix = np.where(differ.any(axis=1), differ.argmax(axis=1), forest.slots)
         prefix[tree[1:] != tree[:-1]] = -1
         shared = np.concatenate(([-1], prefix))
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], []]
         held = 0
 
         def flush():
             nonlocal out, held
-            kinds, a, b, e, s = out
-            batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds), pa.int32()), pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(e), pa.int32()), pa.array(s, pa.binary())], names=["kind", "a", "b", "equal", "sig"])
-            out, held = [[], [], [], [], []], 0
+            kinds, a, b, e = out
+            batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds), pa.int32()), pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(e), pa.int32())], names=["kind", "a", "b", "equal"])
+            out, held = [[], [], [], []], 0
             return batch
 
         for lo, hi in _regions(shared, forest):
-            a, b, e, more = _partners(sig[lo:hi], node[lo:hi], forest.least_equal, _OFFER[0])
+            a, b, e, more = _partners(sig[lo:hi], node[lo:hi], forest.least_equal, OFFER)
             for k, x in enumerate((np.zeros(len(a), np.int32), a, b, e)):
                 out[k].append(x)
-            out[4] += [None] * len(a)
             held += len(a)
             if more:
                 n = hi - lo
                 name = int(mix64(np.frombuffer(sig[lo].tobytes()[:8], dtype=np.uint64) + np.uint64(tree[lo] * 1_000_003 + n) + node[lo : lo + 1].astype(np.uint64))[0].astype(np.int64))
                 for k, x in enumerate((np.ones(n, np.int32), node[lo:hi], np.full(n, name, np.int64), np.zeros(n, np.int32))):
                     out[k].append(x)
-                out[4] += [x.tobytes() for x in sig[lo:hi]]
                 held += n
             if held > 50_000:
                 yield flush()
@@ -200,47 +199,115 @@ def _walk(orders: DataFrame, forest: Forest) -> DataFrame:
     return orders.mapInArrow(run, _OFFERS)
 
 
-def _offers(crowded: DataFrame, groups: DataFrame, forest: Forest, limit: int | None) -> DataFrame:
-    """Offers towards other groups, from the regions that had more candidates than were offered before."""
+def _detail(docs: DataFrame, ids: DataFrame, forest: Forest) -> DataFrame:
+    """Of the texts in crowded regions: a, longer signature, and the full set unless it is very large."""
+
+    def run(batches):
+        mult, add = forest.multipliers()
+        for batch in batches:
+            offsets, raw = text_buffers(batch.column(1))
+            for lo, hi in chunks(offsets):
+                words, rows = word_hashes(offsets[lo : hi + 1] - offsets[lo], raw[offsets[lo] : offsets[hi]])
+                sets = [shingle_set(words[rows[i] : rows[i + 1]], forest.words) for i in range(hi - lo)]
+                ok = np.array([len(x) > 0 for x in sets])
+                sets = [x for x in sets if len(x)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].filter(pa.array(ok)), pa.array([signature(x, mult, add).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() if len(x) <= LARGE_SET else None for x in sets], pa.binary())], names=["a", "sig", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(small(ids.distinct()), "doc_id", "left_semi")
+    return texts.mapInArrow(run, "a long, sig binary, shingles binary").dropDuplicates(["a"])
+
+
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections: shingles of at least two sets, some thousands at a time, as one matrix product each."""
+    n = len(sets)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    number = np.concatenate(([0], np.cumsum(flat[1:] != flat[:-1])))
+    often = np.bincount(number)[number] > 1
+    owner, number = owner[often], np.unique(number[often], return_inverse=True)[1]
+    out, block = np.zeros((n, n), dtype=np.float32), 8192
+    cuts = np.searchsorted(number, np.arange(0, (number[-1] if len(number) else -1) + 1 + block, block))
+    for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+        held = np.zeros((n, block), dtype=np.float32)
+        held[owner[lo:hi], number[lo:hi] - k * block] = 1
+        out += held @ held.T
+    return out.astype(np.int64)
+
+
+def _offers(crowded: DataFrame, detail: DataFrame, groups: DataFrame, forest: Forest) -> DataFrame:
+    """Links between groups in the regions that hold more than one, confirmed on full sets (sure); pairs with a very large set are offers by signature.
+
+    Of the links of one text to one other group, one is kept: they mean the same.
+    """
 
     def run(t: pa.Table) -> pa.Table:
+        ids, group = t.column("a").to_numpy(), t.column("component").to_numpy()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, forest.slots)
-        a, b, e, _ = _partners(sig, t.column("a").to_numpy(), forest.least_equal, limit, t.column("component").to_numpy())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "equal": pa.array(e, pa.int32())})
-
-    labelled = crowded.join(groups.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    return labelled.groupBy("b").applyInArrow(run, "a long, b long, equal int")
+        sets = [np.frombuffer(x or b"", dtype=np.uint64) for x in t.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        apart = (group[:, None] != group[None, :]) & (ids[:, None] < ids[None, :])
+        both = (size[:, None] > 0) & (size[None, :] > 0)
+        common = common_shingles(sets) if (apart & both).any() else np.zeros((len(ids), len(ids)), dtype=np.int64)
+        linked = apart & both & (forest.denominator * common >= forest.numerator * (size[:, None] + size[None, :] - common))
+        a, b = np.nonzero(linked)
+        _, first = np.unique(np.stack([a, group[b]]), axis=1, return_index=True)
+        a, b = a[first], b[first]
+        c, d = np.nonzero(apart & ~both)
+        near = np.array([int((sig[i] == sig[j]).sum()) >= forest.least_equal for i, j in zip(c, d)], dtype=bool)
+        c, d = c[near], d[near]
+        return pa.table({"a": pa.array(ids[np.concatenate((a, c))], pa.int64()), "b": pa.array(ids[np.concatenate((b, d))], pa.int64()), "sure": pa.array(np.arange(len(a) + len(c)) < len(a))})
+
+    named = small(groups.select(F.col("node").alias("a"), "component"))
+    labelled = crowded.join(named, "a", "left").withColumn("component", F.coalesce("component", "a"))
+    region = Window.partitionBy("b")
+    mixed = labelled.withColumn("lo", F.min("component").over(region)).withColumn("hi", F.max("component").over(region)).where("lo < hi")
+    return mixed.select("a", "b", "component").join(detail, "a").groupBy("b").applyInArrow(run, "a long, b long, sure boolean")
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, forest: Forest) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough, checked on whole texts."""
-    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
-    small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(small, "id", "left_semi")
-    texts = keep(texts, "candidate-texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs (a, b) whose full shingle sets are similar enough, checked on whole texts.
+
+    Each text is sent once for each of its pairs, and the two texts of a pair meet
+    under the pair as key, so no key is frequent.
+    """
+    sides = small(pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id")), 2)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(sides, "id")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = texts.select("a", "b", "id", "text").repartition(n, "a", "b").sortWithinPartitions("a", "b", "id")
 
     def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            sets = []
-            for column in (2, 3):
-                offsets, raw = text_buffers(batch.column(column))
-                own = []
-                for lo, hi in chunks(offsets):
-                    words, rows = word_hashes(offsets[lo : hi + 1] - offsets[lo], raw[offsets[lo] : offsets[hi]])
-                    own += [shingle_set(words[rows[i] : rows[i + 1]], forest.words) for i in range(hi - lo)]
-                sets.append(own)
-            good = np.zeros(n, dtype=bool)
-            for i, (s, t) in enumerate(zip(*sets)):
-                if len(s) and len(t):
+        pair, sets = None, {}
+
+        def similar() -> bool:
+            """Whether any set of the one id meets any of the other; an id has one, but for repeated ids."""
+            for s in sets.get(0, ()):
+                for t in sets.get(1, ()):
                     merged = np.sort(np.concatenate((s, t)))
                     common = int((merged[1:] == merged[:-1]).sum())
-                    good[i] = forest.denominator * common >= forest.numerator * (len(s) + len(t) - common)
-            mask = pa.array(good)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+                    if forest.denominator * common >= forest.numerator * (len(s) + len(t) - common):
+                        return True
+            return False
+
+        for batch in batches:
+            good = []
+            a, b, ids = (batch.column(k).to_pylist() for k in range(3))
+            offsets, raw = text_buffers(batch.column(3))
+            for lo, hi in chunks(offsets):
+                words, rows = word_hashes(offsets[lo : hi + 1] - offsets[lo], raw[offsets[lo] : offsets[hi]])
+                for i in range(lo, hi):
+                    if pair != (a[i], b[i]):
+                        if pair and similar():
+                            good.append(pair)
+                        pair, sets = (a[i], b[i]), {}
+                    s = shingle_set(words[rows[i - lo] : rows[i - lo + 1]], forest.words)
+                    if len(s):
+                        sets.setdefault(int(ids[i] != a[i]), []).append(s)
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], names=["a", "b"])
+        if pair and similar():
+            yield pa.RecordBatch.from_arrays([pa.array([pair[0]], pa.int64()), pa.array([pair[1]], pa.int64())], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return met.mapInArrow(run, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
@@ -265,38 +332,23 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     orders = _orders(classes, forest)
     n = partitions_for(spark, classes.count() * forest.orders * (forest.slots + 16))
     walked = keep(_walk(orders.repartitionByRange(n, "tree", "key").sortWithinPartitions("tree", "key", "id"), forest), "offers")
-    offers, crowded = walked.where("kind = 0").select("a", "b", "equal"), keep(walked.where("kind = 1").select("a", "b", "sig"), "crowded")
-    links = tested = groups = None
-    for k, limit in enumerate(_OFFER):
-        if k:
-            offers = _offers(crowded, groups, forest, limit)
-        pairs = offers.distinct()
-        if limit is not None:
-            best = Window.partitionBy("a").orderBy(F.desc("equal"), "b")
-            pairs = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "pairs")
-        if pairs.isEmpty():
-            if k and limit is None:
-                break
-            if groups is None:
-                groups = components(pairs)
-            if not k and crowded.isEmpty():
-                break
-            continue
-        found = keep(_confirm(docs, pairs, forest), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if groups is None or not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            groups = keep(components(links), "groups")
-        if crowded.isEmpty():
-            break
+    offers, crowded = walked.where("kind = 0").select("a", "b", "equal"), keep(walked.where("kind = 1").select("a", "b"), "crowded")
+    best = Window.partitionBy("a").orderBy(F.desc("equal"), "b")
+    first = offers.withColumn("rank", F.dense_rank().over(best)).where(F.col("rank") <= OFFER)
+    pairs = keep(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    links = pairs if pairs.isEmpty() else keep(_confirm(docs, pairs, forest), "links")
+    groups = keep(components(links), "groups")
+    if not crowded.isEmpty():
+        finer = replace(forest, slots=forest.detail)
+        more = keep(_offers(crowded, _detail(docs, crowded.select(F.col("a").alias("doc_id")), finer), groups, finer), "more-links")
+        sure, rest = more.where("sure").select("a", "b"), keep(more.where("not sure").select("a", "b").distinct(), "large-pairs")
+        links = links.unionByName(sure if rest.isEmpty() else sure.unionByName(_confirm(docs, rest, forest)))
+        groups = keep(components(links.distinct()), "groups")
     return _labelled(sketches, classes, groups)
 
 
 def _labelled(sketches: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    groups = small(groups)
     named = classes.join(groups, classes["id"] == groups["node"], "left").select("set_key", F.coalesce("component", "id").alias("component"))
     plain = sketches.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     rest = sketches.where("set_key is not null and doc_id is not null").join(named, "set_key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))

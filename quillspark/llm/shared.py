@@ -43,14 +43,19 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Ids up to this many are sent to all executors to filter texts; beyond it texts and ids are joined by shuffle.
+#: Rows of ids up to this many (some 30 MB) are sent to all executors; beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
+def small(rows: DataFrame, times: int = 1) -> DataFrame:
+    """``rows``, marked for broadcast if there are few; ``times``: the bound counts rows so many times over. Counts them."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS * times else rows
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id isn't in ``ids``; rows with a null id stay."""
     ids = keep(ids.where("doc_id is not null").distinct(), "dropped-ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small(ids), "doc_id", "left_anti").select(docs.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
