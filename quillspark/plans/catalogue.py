@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import box_queries, text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
+
 FLAGSHIP = None
