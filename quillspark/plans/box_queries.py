@@ -134,5 +134,5 @@ def line_groups(spark, sf_dir):
 
 @query("merged_boxes")
 def merged_boxes(spark, sf_dir):
-    b = views.boxes(spark, sf_dir).select("frame", "box_seq", "x", "y", "width", "height", (F.col("box_seq") % 2 == 0).alias("fallback"))
-    return folds.merge_fallback(b).groupBy("frame").agg(F.count(F.lit(1)).alias("boxes"))
+    b = views.boxes(spark, sf_dir).select("frame", "box_seq", "x", "y", "width", "height", "text", (F.col("box_seq") % 2 == 0).alias("fallback"))
+    return folds.merge_fallback(b).select("frame", F.size("boxes").alias("boxes"))
