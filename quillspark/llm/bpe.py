@@ -39,6 +39,14 @@ SHORT = 48
 REMEMBERED = 300_000
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 _SPACES = regex.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+# Code points that the library's pattern engine (Unicode 16) takes as symbols, though newer tables make them letters or numbers.
+_NEWER = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB
+11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191
+191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4
+1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+_NEWER_CLASS = regex.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in _NEWER.split()) + "]")
 _NONE = np.int32(2**31 - 1)
 _ROWS = 8192
 
@@ -149,9 +157,16 @@ class WordBpe:
                         heapq.heappush(heap, (k, x, part[x], part[y]))
         return np.array([p for p, ok in zip(part, live) if ok], dtype=np.int32)
 
+    def pre_tokens(self, piece: str) -> list[str]:
+        """The pattern's matches, with code points newer than the library's tables as symbols."""
+        if piece.isascii() or not _NEWER_CLASS.search(piece):
+            return self.pattern.findall(piece)
+        known = _NEWER_CLASS.sub("\ufffd", piece)
+        return [piece[m.start() : m.end()] for m in self.pattern.finditer(known)]
+
     def learn(self, pieces) -> None:
         """Encode the white-space-free pieces that aren't remembered yet; no pre-token crosses white space."""
-        split = {p: self.pattern.findall(p) for p in pieces}
+        split = {p: self.pre_tokens(p) for p in pieces}
         words = {w for found in split.values() for w in found}
         by_length: dict[int, list[tuple[str, bytes]]] = {}
         for w in words:
