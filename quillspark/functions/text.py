@@ -9,6 +9,7 @@ otherwise.
 from __future__ import annotations
 
 import functools
+import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -36,14 +37,22 @@ def straight_quotes(c: Column) -> Column:
     return F.translate(c, "’‘“”", "''\"\"")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ascii_fold(c: Column) -> Column:
     """Compatibility decomposition with all that isn't ASCII dropped: accents join their letter, ß goes."""
     source, target, many = _folds()
-    several = "[" + "".join(many) + "]"
-    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
-    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    c = F.when(c.rlike(several), spelled).otherwise(c)
-    return F.regexp_replace(F.translate(c, source, target), r"[^\x00-\x7F]", "")
+    table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")  # one node, folded once by the optimizer
+
+    def spell(x: Column) -> Column:
+        spelled = F.array_join(F.transform(F.split(x, ""), lambda y: F.coalesce(F.try_element_at(table, y), y)), "")
+        return F.when(F.translate(x, "".join(many), "") != x, spelled).otherwise(x)  # a table lookup; a class of so many characters is slow
+
+    fold = lambda x: F.regexp_replace(F.translate(let(x, spell), source, target), r"[^\x00-\x7F]", "")
+    return let(c, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), fold(x)).otherwise(x))
 
 
 def _kept_tokens(c: Column, keep) -> Column:
@@ -61,17 +70,17 @@ def _letter_or_word(t: Column) -> Column:
 
 def local_clean(c: Column) -> Column:
     text = F.regexp_replace(F.lower(ascii_fold(straight_quotes(c))), r"(?<=[0-9]),(?=[0-9])", "")
-    tokens = _kept_tokens(text, lambda t: ~t.isin(W.LOCAL_IGNORE_WORDS) & ~_mixed(t) & _letter_or_word(t))
-    table = F.create_map(*[x for k, v in W.FUSED_TOKENS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    fused = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), F.array(t))))
-    return F.array_join(F.when(F.arrays_overlap(tokens, F.array(*map(F.lit, W.FUSED_TOKENS))), fused).otherwise(tokens), " ")
+    joined = F.array_join(_kept_tokens(text, lambda t: ~t.isin(W.LOCAL_IGNORE_WORDS) & ~_mixed(t) & _letter_or_word(t)), " ")
+    table = F.from_json(F.lit(json.dumps({k: " ".join(v) for k, v in W.FUSED_TOKENS.items()})), "map<string,string>")
+    fused = "(^| )(" + "|".join(W.FUSED_TOKENS) + ")( |$)"
+    split = lambda j: F.array_join(F.transform(F.split(j, " "), lambda t: F.coalesce(F.try_element_at(table, t), t)), " ")
+    return let(joined, lambda j: F.when(j.rlike(fused), split(j)).otherwise(j))
 
 
 def legacy_clean(c: Column) -> Column:
     text = F.lower(straight_quotes(c))
     tokens = _kept_tokens(text, lambda t: ~t.rlike("^[0-9]+$") & ~_mixed(t) & ~t.isin(W.LEGACY_IGNORE_WORDS) & _letter_or_word(t))
-    joined = F.array_join(tokens, " ")
-    return F.when(joined.rlike("^i am not scared( .*)? we$"), F.regexp_replace(joined, " we$", "")).otherwise(joined)
+    return F.regexp_replace(F.array_join(tokens, " "), "^(i am not scared(?: .*)?) we$", "$1")
 
 
 def tokens(clean: Column) -> Column:

@@ -275,7 +275,7 @@ def story_units(units: DataFrame, stories: DataFrame, measure: Measure) -> DataF
     rows = rows.join(own_title.withColumn("_own", F.lit(True)), ["video", "i"], "left").withColumn("late_repeat", F.col("repeat") | F.coalesce("_own", F.lit(False)))
     v = Window.partitionBy("video")
     first = lambda test: F.min(F.when(test, F.col("i"))).over(v)
-    rows = rows.withColumn("the_end", first((F.col("start") >= at(0.45)) & (X.local_clean(F.col("normalized")) == "the end")))
+    rows = rows.withColumn("the_end", first((F.col("start") >= at(0.45)) & (F.col("normalized") == "the end")))
     rows = rows.withColumn("terminal", first((F.col("start") >= at(0.60)) & F.col("rejected")))
     rows = rows.withColumn("terminal_start", F.min(F.when(F.col("i") == F.col("terminal"), F.col("start"))).over(v))
     band = (F.col("i") <= F.col("terminal")) & (F.col("gap") >= 6.0) & (F.col("start") >= at(0.55)) & (F.col("start") >= F.col("terminal_start") - 60.0)
