@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become templates: words are lower-cased (A-Z), ASCII punctuation inside and
+Texts become templates: words are lower-cased (A-Z and Latin-1 letters), ASCII punctuation inside and
 around them is removed, and numbers, names and units become typed placeholders.
 Every window of ``WINDOW`` template words is hashed; windows that occur in a
 benchmark item are joined to that item's windows by hash.  A document is
@@ -73,13 +73,17 @@ def template(offsets: np.ndarray, raw: np.ndarray):
         return none
     first, lengths = int(starts[0]), np.diff(np.append(starts, n))
     body = raw[first:]
+    # Latin-1 capitals are two bytes, of which the second differs from the small letter's by 32
+    accented = np.zeros(len(body), dtype=bool)
+    accented[1:] = (body[:-1] == 0xC3) & (body[1:] >= 0x80) & (body[1:] <= 0x9E) & (body[1:] != 0x97)
+    small = body + accented * np.uint8(32)
     kept = inside[first:] & ~_PUNCT[body]
     at = starts - first
     rank = np.cumsum(kept, dtype=np.int32)
     before = rank[at] - kept[at]
     size = np.add.reduceat(kept, at, dtype=np.int32)
     place = np.maximum(rank - 1 - np.repeat(before, lengths), 0)
-    value = mix64(np.add.reduceat(_VALUE[body] * _powers(int(lengths.max()))[place], at) + _STEP)
+    value = mix64(np.add.reduceat(_VALUE[small] * _powers(int(lengths.max()))[place], at) + _STEP)
     digits = np.logical_or.reduceat(_DIGIT[body], at)
     lead = np.minimum(at + (body[at] < 128) * _PUNCT[body[at]], len(body) - 1)
     second = np.minimum(lead + 1, len(body) - 1)
@@ -186,19 +190,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     found = template_windows(docs, "doc_id", sizes, wanted)
     right = items.select("window", "size", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("n_windows").alias("item_windows"), F.col("slots").alias("item_slots"))
     met = keep(found.select(F.col("id").alias("doc_id"), "window", "size", "place", "slots").join(right, ["window", "size"]), "met-windows")
-    # One occurrence of an item in a document keeps the distance between their places, up to the words that differ.
-    shift = F.floor((F.col("place") - F.col("item_place")) / F.lit(16))
-    met = met.withColumn("block", F.explode(F.array(shift, shift + 1)))
+    # One occurrence of an item keeps the distance between its places and the document's, but for words put in or left
+    # out.  Slots are compared at one distance; like passages within an item meet at another, and may agree there or not.
+    key = ["doc_id", "item_id", "shift"]
+    met = met.withColumn("shift", F.col("place") - F.col("item_place"))
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
-    slots = met.select("doc_id", "item_id", "block", F.explode(pairs).alias("s")).select("doc_id", "item_id", "block", "s.i", "s.d")
-    values = slots.groupBy("doc_id", "item_id", "block", "i").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    agreed = values.groupBy("doc_id", "item_id", "block").agg(F.sum((F.col("lo") != F.col("hi")).cast("int")).alias("clash"), F.sum(((F.col("lo") != F.col("i")) | (F.col("hi") != F.col("i"))).cast("int")).alias("changed"), F.count(F.lit(1)).alias("n_slots"))
-    covered = met.groupBy("doc_id", "item_id", "block").agg(F.countDistinct("item_place").alias("matched"), F.max("item_windows").alias("item_windows"))
+    slots = met.select(*key, F.explode(pairs).alias("s")).select(*key, "s.i", "s.d")
+    values = slots.groupBy(*key, "i").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    same = (F.col("lo") == F.col("i")) & (F.col("hi") == F.col("i"))
+    agreed = values.groupBy(*key).agg(F.sum((F.col("lo") != F.col("hi")).cast("int")).alias("clash"), F.sum((~same).cast("int")).alias("changed"), F.count(F.lit(1)).alias("n_slots"))
+    aligned = met.groupBy(*key).agg(F.collect_set("item_place").alias("places"), F.max("item_windows").alias("item_windows")).join(agreed, key, "left")
+    aligned = aligned.where(F.coalesce("clash", F.lit(0)) * 4 <= F.coalesce("n_slots", F.lit(0)))
+    # distances that are near one another belong to one occurrence; a block and its neighbour overlap by half
+    block = F.floor(F.col("shift") / F.lit(16))
+    near = aligned.withColumn("block", F.explode(F.array(block, block + 1))).groupBy("doc_id", "item_id", "block")
+    size = F.size("places")
+    covered = near.agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched"), F.max("item_windows").alias("item_windows"), F.max_by(F.coalesce("changed", F.lit(0)), F.struct(size, -F.abs(F.col("shift")))).alias("changed"))
     need = F.least(F.col("item_windows"), F.greatest(F.lit(LEAST_WINDOWS), F.ceil(F.col("item_windows") * coverage)))
-    good = covered.join(agreed, ["doc_id", "item_id", "block"], "left").where((F.col("matched") >= need) & (F.coalesce("clash", F.lit(0)) * 4 <= F.coalesce("n_slots", F.lit(0))))
-    return good.groupBy("doc_id", "item_id").agg(
+    return covered.where(F.col("matched") >= need).groupBy("doc_id", "item_id").agg(
         F.max("matched").alias("matched"),
         F.max("item_windows").alias("item_windows"),
         F.round(F.max(F.col("matched") / F.col("item_windows")), 6).alias("coverage"),
-        F.when(F.min(F.coalesce("changed", F.lit(0))) == 0, "verbatim").otherwise("template").alias("match"),
+        F.when(F.min_by("changed", -F.col("matched")) == 0, "verbatim").otherwise("template").alias("match"),
     )
