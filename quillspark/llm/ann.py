@@ -12,7 +12,7 @@ Lists are cut into blocks and meet the queries' probes by (list, block), so a
 large list is many tasks.  Equal vectors are indexed by their smallest ids only,
 as many as a result can hold, which loses no result; equal queries are searched
 once.  A query's best in the sample bounds its results from below, so blocks send
-few candidates.  Final scores are inner products of the original vectors in
+few candidates; the sample's best are candidates themselves.  Final scores are inner products of the original vectors in
 double precision.
 
 Defined results: vectors that are null, zero, hold nulls or non-finite numbers,
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .shared import keep, prepare
 
-SAMPLE = 20_000
+SAMPLE = 4_000
 MOST_LISTS = 4096
 REPLICAS, BOUNDARY = 4, 1.1
 BLOCK_ROWS, BLOCK_QUERIES = 20_000, 2_000
@@ -177,9 +177,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     rate = int(1e6 * min(1, SAMPLE / total))
-    sample = _matrix(base.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < rate).orderBy("id").select("x").toArrow().column(0))
-    if not len(sample):
-        sample = _matrix(base.limit(1).toArrow().column("x"))
+    chosen = base.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < rate).orderBy("id").select("id", "x").toArrow()
+    if not chosen.num_rows:
+        chosen = base.orderBy("id").limit(1).select("id", "x").toArrow()
+    sample, sample_ids = _matrix(chosen.column("x")), chosen.column("id").to_numpy()
     index = fit(sample, total, largest, k)
 
     def post(batches):
@@ -197,6 +198,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             part = pa.array(np.repeat(np.arange(len(lists)), [len(p) for p in lists]))
             yield pa.RecordBatch.from_arrays([pa.array([c for p in lists for c in p], pa.int64()), batch.column(0).take(part), batch.column(1).take(part), pa.array(floors).take(part)], names=["list", "id", "x", "floor"])
 
+    def known(batches):
+        """The best of the sample: a query whose lists hold too few still gets its number."""
+        for batch in batches:
+            x, ids = _matrix(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
+            n = min(k + 1, len(sample))
+            for lo in range(0, len(x), 256):
+                q = x[lo : lo + 256]
+                near = np.argpartition(-(q @ sample.T), n - 1, axis=1)[:, :n]
+                scores = (q[:, None, :] * sample[near]).sum(axis=2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo : lo + 256], n)), pa.array(sample_ids[near].reshape(-1)), pa.array(scores.reshape(-1))], names=["query", "id", "score"])
+
     postings = keep(base.mapInArrow(post, "list long, id long, x array<double>"), "postings")
     distinct = keep(asked.groupBy("x").agg(F.min("id").alias("id")), "distinct-queries")
     probes = keep(distinct.select("id", "x").mapInArrow(probe, "list long, id long, x array<double>, floor double"), "probes")
@@ -220,8 +232,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return pa.table({"query": pa.array(q_.astype(np.int64)), "id": pa.array(i_.astype(np.int64)), "score": pa.array(s_.astype(np.float64))})
 
     met = left.groupBy("list", "block", "asker").cogroup(right.groupBy("list", "block", "asker")).applyInArrow(meet, "query long, id long, score double")
+    met = met.unionByName(distinct.select("id", "x").mapInArrow(known, "query long, id long, score double"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    top = met.distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+    top = met.groupBy("query", "id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
     names = asked.select(F.col("id").alias("query_id"), "x").distinct().join(distinct.select(F.col("id").alias("query"), "x"), "x").select("query_id", "query")
     mine = top.join(names, "query").where("id <> query_id")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
