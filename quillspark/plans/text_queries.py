@@ -218,15 +218,14 @@ def _paired(spark, sf_dir):
 
 @query("fuzzy_measures")
 def fuzzy_measures(spark, sf_dir):
-    """All character and coverage measures of short texts against benchmark items; checked against a plain model in the tests."""
-    rows = _paired(spark, sf_dir).where(F.length("a") <= 600)
-    a, b = F.col("a"), F.col("b")
-    return rows.select("doc_id", "item_id", fuzzy.local_similarity_col(a, b).alias("local"), fuzzy.legacy_similarity_col(a, b).alias("legacy"), fuzzy.near_similarity_col(a, b).alias("near"), fuzzy.state_similarity_col(a, b).alias("state"), fuzzy.coverage_col(b, a).alias("coverage"), fuzzy.extra_share_col(b, a).alias("extra"))
+    """All character and coverage measures of whole texts against benchmark items; checked against a plain model in the tests."""
+    rows = _paired(spark, sf_dir).select("doc_id", "item_id", fuzzy.measures_col(F.col("a"), F.col("b")).alias("m"))
+    return rows.select("doc_id", "item_id", "m.*")
 
 
 @query("reference_repair")
 def reference_repair(spark, sf_dir):
-    rows = _paired(spark, sf_dir).where(F.length("a") <= 600)
+    rows = _paired(spark, sf_dir)
     return rows.select("doc_id", "item_id", fuzzy.repair_col(False, False)(F.col("text"), F.col("a"), F.col("b")).alias("repaired"))
 
 

@@ -1,5 +1,8 @@
 """Golden vectors of text functions and fuzzy measures."""
 
+import random
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +59,34 @@ def test_measures():
     assert fuzzy.matched_words({"hat", "that"}, {"hat", "what"}) == 1
 
 
+def test_characters_are_those_of_difflib():
+    g = random.Random(3)
+    for _ in range(300):
+        letters = g.choice(["ab ", "abcdefgh ", "etaoinshrdlu ", "aé日😀 "])
+        a, b = ("".join(g.choice(letters) for _ in range(g.choice(sizes))) for sizes in ((0, 3, 40, 300, 900), (0, 2, 30, 199, 200, 320)))
+        if g.random() < 0.3:
+            b = (b + a[: g.randint(0, 80)] + b)[:400]
+        assert fuzzy.character_ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+        words = a[:40].split()
+        assert fuzzy.matches(words, b.split()) == [[k for k, other in enumerate(b.split()) if fuzzy.words_match(word, other)] for word in words]
+
+
+@pytest.mark.parametrize("name", ["fuzzy_measures", "reference_repair"])
+def test_long_texts_have_rows(spark, tmp_path, name):
+    from quillspark.plans import text_queries
+
+    spark.createDataFrame([(0, "the hat is big"), (1, "some other words " * 200 + "that is big")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "the hat is big"), (1, "the hat is big")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = getattr(text_queries, name)(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in rows] == [0, 1]
+    if name == "fuzzy_measures":
+        text = "some other words " * 200 + "that is big"
+        assert rows[1]["near"] == max(2 / 8, SequenceMatcher(None, text, "the hat is big").ratio()) and rows[1]["coverage"] == 0.75
+        assert rows[1]["local"] == fuzzy.local_similarity(text, "the hat is big")
+    else:
+        assert rows[1]["repaired"].endswith(" hat is big")
+
+
 def test_polish():
     assert fuzzy.accepts_polish("the big dog zzzz", "the big dog")
     assert not fuzzy.accepts_polish("the big dog", "some other words")
