@@ -102,8 +102,8 @@ _SESSION = """r AS (SELECT *, lag(ts) OVER w AS lt, lag(page_id) OVER w AS lp, l
  i AS (SELECT *, sum(CASE WHEN lt IS NOT NULL AND (page_id = '' OR lp = '' OR page_id = lp) AND ts - lt <= 6.0 {alike} THEN 0 ELSE 1 END) OVER (PARTITION BY video ORDER BY ts, obs_seq ROWS UNBOUNDED PRECEDING) AS island FROM r)"""
 
 
-def _sessions(spark, sf_dir, measure, alike):
-    return select.units_from_observations(views.observations(spark, sf_dir), measure, 6.0, alike)
+def _sessions(spark, sf_dir, measure, alike, whole=False):
+    return select.units_from_observations(views.observations(spark, sf_dir, whole), measure, 6.0, alike)
 
 
 @query("sessionise_gap", f"WITH {_O}, {_TOK}, {_SESSION.format(alike='')}, g AS (SELECT video, island, min(ts) AS start, max(ts) AS \"end\", count(*) AS n FROM i GROUP BY video, island) SELECT video, start, \"end\", n FROM g")
@@ -133,7 +133,7 @@ def sessionise_jaccard(spark, sf_dir):
 def sessionise_full(spark, sf_dir):
     from ..functions import fuzzy
 
-    return _sessions(spark, sf_dir, fuzzy.state_similarity_col, 0.70)
+    return _sessions(spark, sf_dir, fuzzy.state_similarity_col, 0.70, whole=True)
 
 
 _STAB = f"""WITH {_O}, {_TOK}, pr AS (SELECT a.video, a.obs_seq, {sql_jaccard('a.k', 'b.k')} AS m FROM o2 a JOIN o2 b ON a.video = b.video AND a.obs_seq <> b.obs_seq AND abs(a.ts - b.ts) <= 24.0 AND (a.page_id = '' OR b.page_id = '' OR a.page_id = b.page_id)),
@@ -173,18 +173,18 @@ def _event_units(spark, sf_dir):
     return e.select(F.col("user_id").alias("video"), F.col("event_id").alias("unit_seq"), F.format_string("u-%06d", "event_id").alias("unit_id"), start.alias("start"), (start + 12.0).alias("end"), F.col("event_id"))
 
 
-def _unit_texts(spark, sf_dir):
-    """Units with the text of a document, next to the one that an observation at their time shows."""
+def _unit_texts(spark, sf_dir, whole=False):
+    """Units with the text of a document (its start as in _SCORE unless ``whole``), next to the one that an observation at their time shows."""
     d = views.read(spark, sf_dir, "documents")
     n = d.agg(F.count(F.lit(1)).alias("n"))
-    text = F.left("text", F.lit(160))
+    text = F.col("text") if whole else F.left("text", F.lit(160))
     u = _event_units(spark, sf_dir).crossJoin(F.broadcast(n)).withColumn("doc_id", F.pmod("event_id", "n"))
     return u.join(d.select("doc_id", text.alias("text"), X.local_clean(text).alias("normalized")), "doc_id").withColumn("source", F.lit("asr")).drop("doc_id", "n", "event_id")
 
 
-def _paged(spark, sf_dir):
+def _paged(spark, sf_dir, whole=False):
     p = views.pages(spark, sf_dir)
-    return intervals.assign_pages(views.observations(spark, sf_dir), p, 168.0), p
+    return intervals.assign_pages(views.observations(spark, sf_dir, whole), p, 168.0), p
 
 
 @query("candidate_tiers", f"WITH {_O}, {_TOK}, {_P}, {_TIERS} SELECT video, unit_seq, tier, count(*) AS n FROM tiers GROUP BY video, unit_seq, tier")
@@ -218,8 +218,8 @@ def select_top1(spark, sf_dir):
 @query("select_full")
 def select_full(spark, sf_dir):
     """The whole selection with fuzzy measures: best frame, text choice, coalesced frames and pruned repeats."""
-    o, p = _paged(spark, sf_dir)
-    chosen = select.selected_text(select.select_frames(_unit_texts(spark, sf_dir), o, p))
+    o, p = _paged(spark, sf_dir, whole=True)
+    chosen = select.selected_text(select.select_frames(_unit_texts(spark, sf_dir, whole=True), o, p))
     rows = chosen.withColumn("frame", F.concat_ws("-", "video", "obs_seq")).withColumn("sel_seq", F.col("unit_seq"))
     return folds.prune_selections(select.coalesce_same_frame(rows)).select("video", "unit_id", "ts", "page_id", "status", F.round("score", 6).alias("score"))
 
@@ -313,5 +313,5 @@ def story_units(spark, sf_dir):
 
 @query("refined_units")
 def refined_units(spark, sf_dir):
-    u = _unit_texts(spark, sf_dir)
-    return select.refine_with_ocr(u, _paged(spark, sf_dir)[0], 12.0, 168.0).select("video", "unit_id", "source", F.md5(F.col("normalized").cast("binary")).alias("normalized"))
+    u = _unit_texts(spark, sf_dir, whole=True)
+    return select.refine_with_ocr(u, _paged(spark, sf_dir, whole=True)[0], 12.0, 168.0).select("video", "unit_id", "source", F.md5(F.col("normalized").cast("binary")).alias("normalized"))

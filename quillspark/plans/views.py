@@ -45,12 +45,12 @@ def _hours(ts):
 HOURS = "(floor(date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) / 225.0) / 16.0)"
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An event is an observation of its user's video, in hours; the text is the start of a document."""
+def observations(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """An event is an observation of its user's video, in hours; the text is a whole document, or its start as in OBSERVATIONS."""
     e, d = read(spark, sf_dir, "events"), read(spark, sf_dir, "documents")
     n = d.agg(F.count(F.lit(1)).alias("n"))
     rows = e.crossJoin(F.broadcast(n)).select("event_id", F.col("user_id").alias("video"), _hours(F.col("ts")).alias("ts"), F.col("value"), F.pmod("event_id", "n").alias("doc_id"))
-    text = F.left("text", F.lit(160))
+    text = F.col("text") if whole else F.left("text", F.lit(160))
     joined = rows.join(d.select("doc_id", text.alias("text"), X.local_clean(text).alias("normalized")), "doc_id")
     conf = F.pmod(F.col("event_id") * 37, F.lit(128)) / 128.0
     ink = F.pmod(F.col("event_id") * 53, F.lit(128)) / 128.0

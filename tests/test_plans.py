@@ -65,3 +65,22 @@ def test_registry():
     known, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(known) and len(known) > 70
     assert callable(__spark_entry__.entry)
+
+
+@pytest.fixture
+def long_documents(spark, tmp_path):
+    """Two observations a quarter of an hour apart whose documents differ from character 161 on."""
+    start = "the same first words of it " * 6
+    spark.createDataFrame([(0, start + "a cat went home " * 40), (1, start + "other birds flew south " * 40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    events = [(k, 7, "purchase", float(k), f"2024-01-01 00:{15 * k:02d}:00") for k in range(2)]
+    rows = spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double, at string")
+    rows.select("event_id", "user_id", "event_type", "value", F.col("at").cast("timestamp_ntz").alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def test_whole_texts(spark, long_documents):
+    from quillspark.plans import interval_queries as plans
+
+    # alike over their first 160 characters, so one session; not as whole texts
+    assert plans.sessionise_full(spark, long_documents).count() == 2
+    assert {r["n"] for r in plans._unit_texts(spark, long_documents, whole=True).select(F.length("text").alias("n")).collect()} == {162 + 640, 162 + 920}
