@@ -80,6 +80,14 @@ def test_components(spark, one_task):
     assert components.components(spark.createDataFrame([], "a long, b long"), one_task).count() == 0
 
 
+def test_language_model_is_the_same_at_any_size(docs):
+    train = docs.where("doc_id % 2 = 0 or doc_id = 1").select("doc_id", "text")
+    (sent, counts), (probed, same) = lm.train(train), lm.train(train, filter_bytes=0)
+    assert sent.shared is not None and probed.shared is None and (sent.weights == probed.weights).all()
+    of = lambda rows: sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in rows.collect())
+    assert of(lm.score(docs, sent, counts)) == of(lm.score(docs, probed, same))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
