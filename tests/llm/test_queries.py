@@ -88,6 +88,11 @@ def test_language_model_is_the_same_at_any_size(docs):
     assert of(lm.score(docs, sent, counts)) == of(lm.score(docs, probed, same))
 
 
+def test_bigrams_seen_once_are_stored(spark):
+    model, merged = lm.train(spark.createDataFrame([(1, "one two three")], "doc_id long, text string"))
+    assert merged.where("kind = 2").agg(F.sum("kept")).first()[0] == 4
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
