@@ -331,7 +331,8 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     classes = keep(filled.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
     orders = _orders(classes, forest)
     n = partitions_for(spark, classes.count() * forest.orders * (forest.slots + 16))
-    walked = keep(_walk(orders.repartitionByRange(n, "tree", "key").sortWithinPartitions("tree", "key", "id"), forest), "offers")
+    # by the prefix that every region shares, so no region is cut
+    walked = keep(_walk(orders.repartition(n, "tree", F.substring("key", 1, forest.min_depth)).sortWithinPartitions("tree", "key", "id"), forest), "offers")
     offers, crowded = walked.where("kind = 0").select("a", "b", "equal"), keep(walked.where("kind = 1").select("a", "b"), "crowded")
     best = Window.partitionBy("a").orderBy(F.desc("equal"), "b")
     first = offers.withColumn("rank", F.dense_rank().over(best)).where(F.col("rank") <= OFFER)

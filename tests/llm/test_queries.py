@@ -80,6 +80,18 @@ def test_components(spark, one_task):
     assert components.components(spark.createDataFrame([], "a long, b long"), one_task).count() == 0
 
 
+def test_few_near_duplicates_over_many_partitions(spark):
+    words = [f"w{k}" for k in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "x"])), (3, " ".join(words[::-1]))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), neardup.Forest(words=3, numerator=85)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3}
+
+
 def test_language_model_is_the_same_at_any_size(docs):
     train = docs.where("doc_id % 2 = 0 or doc_id = 1").select("doc_id", "text")
     (sent, counts), (probed, same) = lm.train(train), lm.train(train, filter_bytes=0)
