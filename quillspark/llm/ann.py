@@ -1,25 +1,34 @@
 """Approximate nearest neighbours by inner product over balanced posting lists.
 
-Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2), where M
-is the largest norm; queries get 0 there.  Centroids come from a k-means whose
-assignment is dearer for fuller clusters, fitted on about ``SAMPLE`` vectors.
-Every vector is posted to its nearest list and, near a boundary, to a few others
-in other directions.  A query walks a neighbour graph of the centroids and takes
-the lists whose distance is within a ratio of the nearest one's; the ratio is
-measured on the sample, so that nearly all true neighbours are in the lists.
+Inner products become angles by one more coordinate, sqrt(M^2 - |x|^2), where M is
+the largest norm: every vector then lies on one sphere, a query (0 there, scaled
+to M) too, and a larger inner product is a smaller distance.
+
+Centroids are directions on that sphere, about sqrt(n) of them, from a two-level
+k-means on a bounded sample: coarse clusters first, each then split in proportion
+to its share.  Every centroid has a price that rises while its list is too full,
+so lists are balanced.  A vector is posted to its nearest list and to those next
+to it whose distance is within ``CLOSURE`` of the nearest one's, if they lie in
+other directions (nearer to the vector than to any list taken before).
+
+A query walks a neighbour graph of the centroids, nearest first, and takes the
+lists whose distance is within a ratio of the nearest one's.  The ratio is
+measured on vectors of the sample that no centroid was fitted on.  Lists are taken
+beyond the ratio only while those taken can't hold enough vectors.
 
 Lists are cut into blocks and meet the queries' probes by (list, block), so a
 large list is many tasks.  Equal vectors are indexed by their smallest ids only,
 as many as a result can hold, which loses no result; equal queries are searched
-once.  A query's best in the sample bounds its results from below, so blocks send
-few candidates; the sample's best are candidates themselves.  Final scores are inner products of the original vectors in
-double precision.
+once.  The sample's vectors in a query's own lists bound its results from below,
+so blocks send few candidates.  Scores are inner products of the original vectors
+in double precision.
 
 Defined results: vectors that are null, zero, hold nulls or non-finite numbers,
-or have not the most frequent length take no part, nor do null ids; ties go to
-the smaller id; with fewer candidates than wanted, all are returned; an empty
-table gives no rows; repeated rows of an id are one vector each, and the own id
-is never returned.
+or have not the most frequent length (of ``vectors``, the longer on a tie) take
+no part, nor do null ids, among vectors and queries alike; ties go to the smaller
+id; with fewer candidates than wanted, all are returned; an empty table gives no
+rows; repeated rows of an id are one vector each, and the own id is never
+returned.  Columns other than id and x are ignored.
 """
 
 from __future__ import annotations
@@ -32,23 +41,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import keep, prepare
+from .shared import keep, partitions_for, prepare
 
-SAMPLE = 4_000
-MOST_LISTS = 4096
-REPLICAS, BOUNDARY = 4, 1.1
+#: Bounds of the sample that centroids and the ratio are fitted on: vectors a list, and bytes in all.
+SAMPLE_A_LIST, SAMPLE_BYTES = 40, 128 << 20
+MOST_LISTS = 16_384
+REPLICAS, CLOSURE = 4, 1.1
 BLOCK_ROWS, BLOCK_QUERIES = 20_000, 2_000
-_COVER, _DEGREE, _ENTRIES, _FULL = 0.985, 16, 4, 3000
+#: Share of the true neighbours, among vectors not fitted on, that the ratio has to find.
+COVER = 0.965
+_DEGREE, _ENTRIES, _FLOOR, _TRIALS = 16, 4, 8_000, 400
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """id and x (array of double) of the vectors that take part."""
+def usable(vectors: DataFrame, length: int | None = None) -> tuple[DataFrame, int | None]:
+    """id and x (array of double) of the vectors that take part, and their length; ``length``: the one wanted."""
     x = F.col("x")
     rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x")).where("id is not null and x is not null and size(x) > 0")
     odd = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
     rows = rows.where(~odd & F.exists(x, lambda v: v != 0)).withColumn("x", F.transform(x, lambda v: v + F.lit(0.0)))
-    length = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return rows.where(F.size("x") == length[0]["n"]) if length else rows
+    if length is None:
+        first = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
+        length = first[0]["n"] if first else None
+    return (rows.where(F.size("x") == length) if length else rows), length
 
 
 def _matrix(column) -> np.ndarray:
@@ -58,166 +72,220 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
 
 
+def _gap(cosine: np.ndarray) -> np.ndarray:
+    """Distance on the unit sphere."""
+    return np.sqrt(np.maximum(0, 2 - 2 * cosine))
+
+
 @dataclass
 class PostingIndex:
-    """Centroids, their neighbour graph, and the pruning ratio."""
+    """Centroids with prices, their neighbour graph, the pruning ratio, and sample vectors with the lists they are in."""
 
     largest: float
     centroids: np.ndarray
+    prices: np.ndarray
     graph: np.ndarray
     entries: np.ndarray
-    ratio: float
-    sample: np.ndarray
+    ratio: float = np.inf
+    sample: np.ndarray | None = None
+    posted: np.ndarray | None = None
+    sizes: np.ndarray | None = None
 
     def lift(self, x: np.ndarray) -> np.ndarray:
-        return np.hstack([x, np.sqrt(np.maximum(0, self.largest - (x * x).sum(axis=1)))[:, None]])
+        """Vectors as points of the unit sphere."""
+        return (np.hstack([x, np.sqrt(np.maximum(0, self.largest - (x * x).sum(axis=1)))[:, None]]) / np.sqrt(self.largest)).astype(np.float32)
 
-    def distances(self, lifted: np.ndarray) -> np.ndarray:
-        c = self.centroids
-        return np.sqrt(np.maximum(0, (lifted * lifted).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * lifted @ c.T))
+    @staticmethod
+    def aim(q: np.ndarray) -> np.ndarray:
+        """Queries as points of the unit sphere."""
+        return np.hstack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))]).astype(np.float32)
 
-    def post(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs: the nearest list, and boundary replicas in other directions."""
-        rows, lists = [], []
-        apart = np.sqrt(np.maximum(0, ((self.centroids[:, None] - self.centroids[None]) ** 2).sum(axis=2))) if len(self.centroids) <= 512 else None
+    def post(self, x: np.ndarray) -> np.ndarray:
+        """Lists of each vector (n, REPLICAS), the nearest first; -1 where there are fewer."""
+        k = len(self.centroids)
+        out = np.full((len(x), REPLICAS), -1, dtype=np.int64)
         for lo in range(0, len(x), 2048):
-            d = self.distances(self.lift(x[lo : lo + 2048]))
-            near = np.argsort(d, axis=1)[:, : 2 * REPLICAS]
-            for i, row in enumerate(near):
-                taken = [row[0]]
-                for c in row[1:]:
-                    if len(taken) == REPLICAS or d[i, c] > BOUNDARY * d[i, row[0]]:
-                        break
-                    gaps = apart[c, taken] if apart is not None else np.linalg.norm(self.centroids[c] - self.centroids[taken], axis=1)
-                    if (gaps > d[i, c]).all():
-                        taken.append(c)
-                rows += [lo + i] * len(taken)
-                lists += taken
-        return np.array(rows, dtype=np.int64), np.array(lists, dtype=np.int64)
-
-    def probe(self, query: np.ndarray) -> list[int]:
-        """Lists of one query: the graph is walked nearest first, and ends beyond the ratio."""
-        q = np.append(query, 0.0)
+            cosine = self.lift(x[lo : lo + 2048]) @ self.centroids.T
+            worth = cosine - self.prices
+            wide = min(k, 2 * REPLICAS)
+            near = np.argpartition(-worth, wide - 1, axis=1)[:, :wide]
+            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(worth, near, 1), axis=1, kind="stable"), 1)
+            d = _gap(np.take_along_axis(cosine, near, 1))
+            apart = _gap(np.einsum("nid,njd->nij", self.centroids[near], self.centroids[near]))
+            taken = d <= CLOSURE * d[:, :1]
+            taken[:, 0] = True
+            for j in range(1, wide):
+                taken[:, j] &= taken[:, :j].sum(axis=1) < REPLICAS
+                taken[:, j] &= (~taken[:, :j] | (apart[:, j, :j] > d[:, j, None])).all(axis=1)
+            row, col = np.nonzero(taken)
+            out[lo + row, (np.cumsum(taken, axis=1) - 1)[row, col]] = near[row, col]
+        return out
+
+    def probe(self, aimed: np.ndarray, rows: int) -> np.ndarray:
+        """Lists of one query: the graph is walked nearest first, and ends beyond the ratio once the lists hold ``rows``."""
         seen = np.zeros(len(self.centroids), dtype=bool)
-        first = np.unique(self.entries)
-        seen[first] = True
-        heap = [(float(np.linalg.norm(self.centroids[i] - q)), int(i)) for i in first]
+        seen[self.entries] = True
+        heap = list(zip(_gap(self.centroids[self.entries] @ aimed).tolist(), self.entries.tolist()))
         heapq.heapify(heap)
-        best, found, spare = np.inf, [], 0
+        best, at, far, held, spare = np.inf, [], [], 0, 0
         while heap:
             d, i = heapq.heappop(heap)
             best = min(best, d)
-            if d > self.ratio * best:
+            if d > self.ratio * best and held >= rows:
                 spare += 1
                 if spare > _DEGREE:
                     break
-            found.append((d, i))
-            new = self.graph[i][~seen[self.graph[i]]]
+            at.append(i)
+            far.append(d)
+            held += self.sizes[i]
+            new = np.unique(self.graph[i][~seen[self.graph[i]]])
             seen[new] = True
-            for j, e in zip(new.tolist(), np.linalg.norm(self.centroids[new] - q, axis=1).tolist()):
+            for e, j in zip(_gap(self.centroids[new] @ aimed).tolist(), new.tolist()):
                 heapq.heappush(heap, (e, j))
-        return [i for d, i in found if d <= self.ratio * best]
+        order = np.argsort(far, kind="stable")
+        at, far = np.array(at)[order], np.array(far)[order]
+        if held < rows:
+            rest = np.setdiff1d(np.arange(len(self.centroids)), at)
+            at, far = np.concatenate((at, rest[np.argsort(-(self.centroids[rest] @ aimed), kind="stable")])), np.append(far, np.full(len(rest), np.inf))
+        before = np.concatenate(([0], np.cumsum(self.sizes[at])[:-1]))
+        return at[(far <= self.ratio * best) | (before < rows)]
+
+    def floor(self, q: np.ndarray, lists: list[np.ndarray], wanted: int) -> np.ndarray:
+        """A lower bound of each query's ``wanted``-th best score, from the sample's vectors in the query's own lists."""
+        out = np.full(len(q), -np.inf)
+        if len(self.sample) < wanted:
+            return out
+        for lo in range(0, len(q), 128):
+            mine = np.zeros((len(q[lo : lo + 128]), len(self.centroids) + 1), dtype=bool)
+            for i, own in enumerate(lists[lo : lo + 128]):
+                mine[i, own] = True
+            held = np.zeros((len(mine), len(self.sample)), dtype=bool)
+            for column in self.posted.T:
+                held |= mine[:, column]
+            s = np.where(held, q[lo : lo + 128] @ self.sample.T, -np.inf)
+            s = np.partition(s, len(self.sample) - wanted, axis=1)[:, len(self.sample) - wanted]
+            out[lo : lo + 128] = np.where(np.isfinite(s), s - 1e-9 * (1 + np.abs(s)), -np.inf)
+        return out
+
+
+def _spherical(points: np.ndarray, k: int, g: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    """``k`` directions; an empty one starts again at a point of the fullest."""
+    c = points[g.permutation(len(points))[:k]].copy()
+    for _ in range(rounds):
+        owner = np.concatenate([(points[lo : lo + 65_536] @ c.T).argmax(axis=1) for lo in range(0, len(points), 65_536)])
+        fill = np.bincount(owner, minlength=k)
+        order = np.argsort(owner, kind="stable")
+        live = np.flatnonzero(fill)
+        c[live] = np.add.reduceat(points[order], (np.cumsum(fill) - fill)[live], axis=0)
+        for dead in np.flatnonzero(fill == 0):
+            c[dead] = points[g.choice(np.flatnonzero(owner == fill.argmax()))]
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    return c
+
 
-    def floor(self, queries: np.ndarray, k: int) -> np.ndarray:
-        """A lower bound of each query's k-th best score, from the sample."""
-        if len(self.sample) < k:
-            return np.full(len(queries), -np.inf)
-        s = np.partition(queries @ self.sample.T, len(self.sample) - k, axis=1)[:, len(self.sample) - k]
-        return s - 1e-9 * (1 + np.abs(s))
+def _centroids(points: np.ndarray, k: int, g: np.random.Generator) -> np.ndarray:
+    """Two levels: about sqrt(k) coarse clusters, each split by its share of the points."""
+    coarse = _spherical(points, max(1, round(k**0.5)), g)
+    owner = np.concatenate([(points[lo : lo + 65_536] @ coarse.T).argmax(axis=1) for lo in range(0, len(points), 65_536)])
+    fill = np.bincount(owner, minlength=len(coarse))
+    share = np.maximum(1, np.round(k * fill / len(points)).astype(int)) * (fill > 0)
+    return np.concatenate([_spherical(points[owner == i], min(n, fill[i]), g) for i, n in enumerate(share) if n])
 
 
-def fit(sample: np.ndarray, n: int, largest: float, wanted: int, seed: int = 3) -> PostingIndex:
+def _prices(points: np.ndarray, c: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """What has to be taken off each centroid's cosine so that lists are about equally full."""
+    points = points[: max(len(points) // 8, min(len(points), (1 << 28) // max(1, 4 * len(c))))]
+    prices, step = np.zeros(len(c), dtype=np.float32), 0.04
+    for _ in range(rounds if len(c) > 1 else 0):
+        fill = np.zeros(len(c))
+        for lo in range(0, len(points), 8192):
+            fill += np.bincount((points[lo : lo + 8192] @ c.T - prices).argmax(axis=1), minlength=len(c))
+        prices += (step * np.clip(fill / fill.mean() - 1, -1, 1)).astype(np.float32)
+        prices -= prices.mean()
+        step *= 0.93
+    return prices
+
+
+def fit(sample: np.ndarray, n: int, largest: float, wanted: int, lists: int, seed: int = 3) -> PostingIndex:
+    """An index of about ``lists`` lists for ``n`` vectors; three quarters of the sample make centroids, the rest the ratio."""
     g = np.random.default_rng(seed)
-    index = PostingIndex(largest, np.zeros((1, sample.shape[1] + 1)), np.zeros((1, 0), dtype=np.int64), np.zeros(1, dtype=np.int64), np.inf, sample)
-    lifted = index.lift(sample)
-    k = max(1, min(MOST_LISTS, int(n**0.5), len(sample) // 8))
-    centroids = lifted[g.permutation(len(lifted))[:k]].copy()
-    fill = np.zeros(k)
-    for _ in range(8):
-        d = (centroids * centroids).sum(axis=1) - 2 * lifted @ centroids.T
-        spread = max(1e-12, float(np.median(d.max(axis=1) - d.min(axis=1))))
-        owner = (d + 0.25 * spread * (fill / max(1e-12, fill.mean()) if fill.any() else fill)).argmin(axis=1)
-        fill = np.bincount(owner, minlength=k).astype(float)
-        sums = np.zeros_like(centroids)
-        np.add.at(sums, owner, lifted)
-        live = fill > 0
-        centroids[live] = sums[live] / fill[live, None]
-    index.centroids = centroids
-    apart = index.distances(centroids)
-    np.fill_diagonal(apart, np.inf)
-    near = np.argsort(apart, axis=1)[:, : min(_DEGREE, k - 1)]
-    index.graph = np.hstack([near, g.integers(0, k, (k, 4))]) if k > 1 else np.zeros((1, 0), dtype=np.int64)
-    index.entries = g.permutation(k)[:_ENTRIES]
-    if n <= _FULL:
+    sample = sample[g.permutation(len(sample))]
+    index = PostingIndex(largest, np.zeros((1, sample.shape[1] + 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 0), np.int64), np.zeros(1, np.int64))
+    fitted, apart = np.split(sample, [max(1, 3 * len(sample) // 4)])
+    points = index.lift(fitted)
+    index.centroids = c = _centroids(points, max(1, min(lists, len(points) // 4)), g).astype(np.float32)
+    k = len(c)
+    index.prices = _prices(points, c)
+    near = np.concatenate([np.argsort(-(c[lo : lo + 512] @ c.T), axis=1)[:, 1 : _DEGREE + 1] for lo in range(0, k, 512)])
+    index.graph = np.hstack([near, g.integers(0, k, (k, 4))]) if k > 1 else near
+    index.entries = np.unique(g.permutation(k)[:_ENTRIES])
+    index.sample = sample[:_FLOOR]
+    index.posted = index.post(index.sample)
+    if len(apart) < 2:
         return index
-    queries = sample[g.permutation(len(sample))[:200]]
-    rows, lists = index.post(sample)
-    far = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
-    d = index.distances(far)
-    d /= d.min(axis=1, keepdims=True)
-    scores = queries @ sample.T
-    needed = []
-    of = [[] for _ in range(len(sample))]
-    for r, c in zip(rows, lists):
-        of[r].append(c)
-    for i in range(len(queries)):
-        for j in np.argpartition(-scores[i], min(wanted, len(sample) - 1))[: wanted + 1]:
-            needed.append(d[i, of[j]].min())
-    index.ratio = float(np.quantile(needed, _COVER)) + 1e-9
+    # a query's own nearest list is nearer if it was fitted on, so as many of the trials were as of all vectors; neighbours
+    # are those of a rank that a sample of this rate would hold of the ones wanted
+    seen = min(_TRIALS, len(fitted), round(_TRIALS * len(fitted) / n))
+    queries = np.concatenate((apart[: max(1, _TRIALS - seen)], fitted[:seen]))
+    first, rank = min(len(apart), max(1, _TRIALS - seen)), min(len(apart) - 1, max(1, round(wanted * len(apart) / n)))
+    posted = index.post(apart)
+    far = np.hstack([_gap(index.aim(queries) @ c.T), np.full((len(queries), 1), np.inf)])
+    far /= far.min(axis=1, keepdims=True)
+    scores = queries @ apart.T
+    scores[np.arange(first), np.arange(first)] = -np.inf
+    true = np.argpartition(-scores, rank - 1, axis=1)[:, :rank]
+    index.ratio = float(np.quantile(far[np.arange(len(queries))[:, None, None], posted[true]].min(axis=2), COVER)) + 1e-6
     return index
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, rank (from 1), id, score: the ``k`` best of ``vectors`` (id, x) for each of ``queries`` (id, x), never its own id."""
+    """query_id, rank (from 1), id, score: the ``k`` best found of ``vectors`` (id, x) for each of ``queries`` (id, x), never its own id."""
     spark = prepare(vectors.sparkSession)
+    rows, length = usable(vectors)
     own = Window.partitionBy("x").orderBy("id")
-    base = keep(usable(vectors).withColumn("r", F.row_number().over(own)).where(F.col("r") <= k + 1).drop("r"), "vectors")
-    asked = keep(usable(queries), "queries")
+    base = keep(rows.withColumn("r", F.row_number().over(own)).where(F.col("r") <= k + 1).drop("r"), "vectors")
+    asked = keep(usable(queries, length)[0], "queries") if length else None
     total, largest = base.agg(F.count(F.lit(1)), F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))).first()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    rate = int(1e6 * min(1, SAMPLE / total))
-    chosen = base.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < rate).orderBy("id").select("id", "x").toArrow()
+    lists = max(1, min(MOST_LISTS, round(total**0.5)))
+    size = min(SAMPLE_A_LIST * lists, SAMPLE_BYTES // (8 * length))
+    rate = int(1e6 * min(1, size / total)) + 1
+    chosen = base.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < rate).select("id", "x").orderBy("id").toArrow()
     if not chosen.num_rows:
         chosen = base.orderBy("id").limit(1).select("id", "x").toArrow()
-    sample, sample_ids = _matrix(chosen.column("x")), chosen.column("id").to_numpy()
-    index = fit(sample, total, largest, k)
+    index = fit(_matrix(chosen.column("x")), total, largest, k, lists)
+    enough = REPLICAS * (k + 1)
 
     def post(batches):
         for batch in batches:
-            x = _matrix(batch.column(1))
-            rows, lists = index.post(x)
-            part = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), batch.column(0).take(part), batch.column(1).take(part)], names=["list", "id", "x"])
+            lists = index.post(_matrix(batch.column(1)))
+            row, col = np.nonzero(lists >= 0)
+            part = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(lists[row, col]), batch.column(0).take(part), batch.column(1).take(part)], names=["list", "id", "x"])
+
+    postings = keep(base.mapInArrow(post, "list long, id long, x array<double>"), "postings")
+    counted = postings.groupBy("list").count().collect()  # a row for each list, at most MOST_LISTS
+    index.sizes = np.zeros(len(index.centroids), dtype=np.int64)
+    for r in counted:
+        index.sizes[r["list"]] = r["count"]
 
     def probe(batches):
         for batch in batches:
             x = _matrix(batch.column(1))
-            floors = index.floor(x, k + 1)
-            lists = [index.probe(q) for q in x]
+            aimed = index.aim(x)
+            lists = [index.probe(q, enough) for q in aimed]
+            floors = index.floor(x, lists, k + 1)
             part = pa.array(np.repeat(np.arange(len(lists)), [len(p) for p in lists]))
-            yield pa.RecordBatch.from_arrays([pa.array([c for p in lists for c in p], pa.int64()), batch.column(0).take(part), batch.column(1).take(part), pa.array(floors).take(part)], names=["list", "id", "x", "floor"])
-
-    def known(batches):
-        """The best of the sample: a query whose lists hold too few still gets its number."""
-        for batch in batches:
-            x, ids = _matrix(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
-            n = min(k + 1, len(sample))
-            for lo in range(0, len(x), 256):
-                q = x[lo : lo + 256]
-                near = np.argpartition(-(q @ sample.T), n - 1, axis=1)[:, :n]
-                scores = (q[:, None, :] * sample[near]).sum(axis=2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo : lo + 256], n)), pa.array(sample_ids[near].reshape(-1)), pa.array(scores.reshape(-1))], names=["query", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64), pa.int64()), batch.column(0).take(part), batch.column(1).take(part), pa.array(floors).take(part)], names=["list", "id", "x", "floor"])
 
-    postings = keep(base.mapInArrow(post, "list long, id long, x array<double>"), "postings")
     distinct = keep(asked.groupBy("x").agg(F.min("id").alias("id")), "distinct-queries")
-    probes = keep(distinct.select("id", "x").mapInArrow(probe, "list long, id long, x array<double>, floor double"), "probes")
-    sizes = F.broadcast(postings.groupBy("list").count().select("list", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")))
-    asks = F.broadcast(probes.groupBy("list").count().select("list", F.ceil(F.col("count") / BLOCK_QUERIES).cast("int").alias("askers")))
-    left = postings.join(sizes, "list").join(asks, "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    left = left.withColumn("asker", F.explode(F.sequence(F.lit(0).cast("long"), F.col("askers").cast("long") - 1))).select("list", "block", "asker", "id", "x")
-    right = probes.join(sizes, "list").join(asks, "list").withColumn("asker", F.pmod(F.xxhash64("id"), F.col("askers")))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).select("list", "block", "asker", "id", "x", "floor")
+    spread = distinct.repartition(partitions_for(spark, 8 * length * distinct.count(), 1 << 20), "id")
+    probes = keep(spread.select("id", "x").mapInArrow(probe, "list long, id long, x array<double>, floor double"), "probes")
+    sizes = postings.groupBy("list").agg(F.ceil(F.count("id") / BLOCK_ROWS).alias("blocks"))
+    dealt = F.broadcast(sizes.join(probes.groupBy("list").agg(F.ceil(F.count("id") / BLOCK_QUERIES).alias("askers")), "list"))
+    left = postings.join(dealt, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("askers") - 1)).alias("asker"), "id", "x")
+    right = probes.join(dealt, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.col("askers")).alias("asker"), "id", "x", "floor")
 
     def meet(rows: pa.Table, asking: pa.Table) -> pa.Table:
         found: list[list[np.ndarray]] = [[], [], []]
@@ -225,14 +293,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             x, ids = _matrix(rows.column("x")), rows.column("id").to_numpy()
             q, own_ids, floors = _matrix(asking.column("x")), asking.column("id").to_numpy(), asking.column("floor").to_numpy()
             for lo in range(0, len(q), 128):
-                a, b = np.nonzero(q[lo : lo + 128] @ x.T >= floors[lo : lo + 128, None])
+                s, least = q[lo : lo + 128] @ x.T, floors[lo : lo + 128]
+                if len(x) > k + 1:
+                    top = np.partition(s, len(x) - k - 1, axis=1)[:, len(x) - k - 1]
+                    least = np.maximum(least, top - 1e-9 * (1 + np.abs(top)))
+                a, b = np.nonzero(s >= least[:, None])
                 for column, value in zip(found, (own_ids[lo + a], ids[b], (q[lo + a] * x[b]).sum(axis=1))):
                     column.append(value)
         q_, i_, s_ = (np.concatenate(c) if c else np.zeros(0) for c in found)
         return pa.table({"query": pa.array(q_.astype(np.int64)), "id": pa.array(i_.astype(np.int64)), "score": pa.array(s_.astype(np.float64))})
 
     met = left.groupBy("list", "block", "asker").cogroup(right.groupBy("list", "block", "asker")).applyInArrow(meet, "query long, id long, score double")
-    met = met.unionByName(distinct.select("id", "x").mapInArrow(known, "query long, id long, score double"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     top = met.groupBy("query", "id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
     names = asked.select(F.col("id").alias("query_id"), "x").distinct().join(distinct.select(F.col("id").alias("query"), "x"), "x").select("query_id", "query")

@@ -180,19 +180,52 @@ def test_nearest_neighbours(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
-def test_pruned_lists_keep_recall():
+def test_pruned_lists_keep_recall(spark):
+    """Through search, on clustered vectors: recall, the share of vectors that is compared, replication and balance."""
     g = np.random.default_rng(6)
-    x = g.standard_normal((6000, 16))
-    index = ann.fit(x, len(x), float((x * x).sum(axis=1).max()), 20)
-    rows, lists = index.post(x)
-    members = defaultdict(set)
-    for r, c in zip(rows.tolist(), lists.tolist()):
-        members[c].add(r)
-    hits = 0
-    for q in range(0, 600, 20):
-        near = set().union(*(members[c] for c in index.probe(x[q])))
-        hits += len(near & set(np.argsort(-(x @ x[q]))[:20].tolist()))
-    assert hits / 600 >= 0.9
+    centres = g.standard_normal((300, 32))
+    x = (centres[g.integers(0, 300, 12_000)] + 0.6 * g.standard_normal((12_000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<float>")
+    got = defaultdict(set)
+    for r in ann.search(df, df.where("id % 60 = 0"), 20).collect():
+        got[r["query_id"]].add(r["id"])
+    x = x.astype(float)
+    hits = scanned = 0
+    lists = round(len(x) ** 0.5)
+    index = ann.fit(x[g.permutation(len(x))[: ann.SAMPLE_A_LIST * lists]], len(x), float((x * x).sum(axis=1).max()), 20, lists)
+    posted = index.post(x)
+    index.sizes = np.bincount(posted[posted >= 0], minlength=len(index.centroids))
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert len(found) == 20
+        hits += len(found & set(np.argsort(-s)[:20].tolist()))
+        probed = index.probe(index.aim(x[q : q + 1])[0], 84)
+        assert len(set(probed.tolist())) == len(probed)
+        scanned += np.isin(posted, probed).any(axis=1).mean()
+    assert hits / (20 * len(got)) >= 0.9
+    assert scanned / len(got) <= 0.4
+    assert (posted >= 0).sum() / len(x) >= 1.2
+    first = np.bincount(posted[:, 0], minlength=len(index.centroids))
+    assert np.quantile(first, 0.95) <= 2 * first.mean()
+
+
+def test_lists_hold_enough_for_every_query(spark):
+    """However the ratio prunes, a query gets as many as there are, up to those wanted."""
+    g = np.random.default_rng(7)
+    x = g.standard_normal((60, 8))
+    x[:30] *= 1e-3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    got = Counter(r["query_id"] for r in ann.search(df, df, 20).collect())
+    assert got == {i: 20 for i in range(60)}
+    got = Counter(r["query_id"] for r in ann.search(df.where("id < 7"), df.where("id < 7"), 20).collect())
+    assert got == {i: 6 for i in range(7)}
+
+
+def test_queries_of_another_length_take_no_part(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)] + [(9, [1.0, 2.0, 3.0])], "id long, x array<double>")
+    assert ann.search(df, df.where("id = 9"), 3).count() == 0
+    assert {r["query_id"] for r in ann.search(df, df, 3).collect()} == set(range(5))
 
 
 ITEM = "A train leaves Paris at 12 with 40 people and a train leaves Rome at 15 with 60 people; how many people travel in all when both trains meet halfway across the border"
