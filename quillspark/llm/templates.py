@@ -14,9 +14,11 @@ most ``BROADCAST_WINDOWS`` of them; beyond that every document window goes
 through the join, which is the same join in both cases.
 
 Placeholders: a word with a digit, or a number word, is NUM; a title-case word
-that doesn't begin a sentence is NAME; a known unit is UNIT.  Windows with more
-than ``MOST_SLOTS`` placeholders say too little and are left out; the words
-beside them are still covered by other windows.
+that doesn't begin a sentence is NAME; a known unit is UNIT.  A window with fewer
+than ``LEAST_PLAIN`` words beside its placeholders says too little as a template,
+so its hash takes the values of the slots too and it matches verbatim only.  Where
+most of the windows that meet are placeholders to more than half and slots were
+changed, ``DENSE_COVERAGE`` of the item is asked for.
 
 Defined results: null and empty texts, and texts or items shorter than a window,
 have no windows and match nothing, but an item shorter than ``WINDOW`` words is
@@ -36,9 +38,9 @@ from .kernels import _BYTE_VALUE, _SPACE, _STEP, _powers, chunks, mix64, text_bu
 from .shared import keep, prepare
 
 WINDOW = 8
-MOST_SLOTS = 4
-#: Share of an item's windows that a document must hold, and the least number of them.
-COVERAGE, LEAST_WINDOWS = 0.3, 3
+LEAST_PLAIN = 2
+#: Share of an item's windows that a document must hold, and the least number of them; the share where slots say most.
+COVERAGE, LEAST_WINDOWS, DENSE_COVERAGE = 0.3, 3, 0.8
 BROADCAST_WINDOWS = 4_000_000
 
 # Unit and number words.
@@ -127,6 +129,15 @@ class WindowTable:
         return maybe[self.sorted[at] == h[maybe]]
 
 
+def _windows(shown: np.ndarray, value: np.ndarray, sums: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the windows of template words; of values where a window has too few plain words."""
+    h = window_hashes(shown, size)
+    if len(h):
+        bare = np.flatnonzero(size - (sums[size:] - sums[:-size]) < min(LEAST_PLAIN, size))
+        h[bare] = ~window_hashes(value, size)[bare]
+    return h
+
+
 _WINDOWS = "id long, window long, place int, n_windows int, size int, slots array<long>"
 
 
@@ -147,10 +158,8 @@ def template_windows(rows: DataFrame, id_column: str, sizes: list[int], wanted:
                 sums = np.concatenate(([0], np.cumsum(kind > 0)))
                 parts: list[list] = [[], [], [], [], [], []]
                 for size in sizes:
-                    if items:
-                        hashes = {z: window_hashes(shown, z) for z in {*np.minimum(np.diff(begin), size).tolist()} - {0}}
-                    else:
-                        hashes = {size: window_hashes(shown, size)}
+                    lengths = {*np.minimum(np.diff(begin), size).tolist()} - {0} if items else [size]
+                    hashes = {z: _windows(shown, value, sums, z) for z in lengths}
                     for z, h in hashes.items():
                         if wanted is not None:
                             found = wanted[z].find(h)
@@ -160,9 +169,7 @@ def template_windows(rows: DataFrame, id_column: str, sizes: list[int], wanted:
                         fits = found + z <= begin[own + 1]
                         if items:
                             fits &= np.minimum(np.diff(begin), size)[own] == z
-                        slots = sums[found + z] - sums[found]
-                        ok = fits & (slots <= min(MOST_SLOTS, z // 2))
-                        for f, o in zip(found[ok].tolist(), own[ok].tolist()):
+                        for f, o in zip(found[fits].tolist(), own[fits].tolist()):
                             k = kind[f : f + z] > 0
                             for part, x in zip(parts, (ids[lo + o], h[f], f - begin[o], begin[o + 1] - begin[o] - z + 1, z, value[f : f + z][k].astype(np.int64).tolist())):
                                 part.append(x)
@@ -199,14 +206,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     values = slots.groupBy(*key, "i").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     same = (F.col("lo") == F.col("i")) & (F.col("hi") == F.col("i"))
     agreed = values.groupBy(*key).agg(F.sum((F.col("lo") != F.col("hi")).cast("int")).alias("clash"), F.sum((~same).cast("int")).alias("changed"), F.count(F.lit(1)).alias("n_slots"))
-    aligned = met.groupBy(*key).agg(F.collect_set("item_place").alias("places"), F.max("item_windows").alias("item_windows")).join(agreed, key, "left")
+    dense = F.sum((F.size("item_slots") * 2 > F.col("size")).cast("int"))
+    aligned = met.groupBy(*key).agg(F.collect_set("item_place").alias("places"), F.max("item_windows").alias("item_windows"), (dense * 2 > F.count(F.lit(1))).alias("dense")).join(agreed, key, "left")
     aligned = aligned.where(F.coalesce("clash", F.lit(0)) * 4 <= F.coalesce("n_slots", F.lit(0)))
     # distances that are near one another belong to one occurrence; a block and its neighbour overlap by half
     block = F.floor(F.col("shift") / F.lit(16))
     near = aligned.withColumn("block", F.explode(F.array(block, block + 1))).groupBy("doc_id", "item_id", "block")
-    size = F.size("places")
-    covered = near.agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched"), F.max("item_windows").alias("item_windows"), F.max_by(F.coalesce("changed", F.lit(0)), F.struct(size, -F.abs(F.col("shift")))).alias("changed"))
-    need = F.least(F.col("item_windows"), F.greatest(F.lit(LEAST_WINDOWS), F.ceil(F.col("item_windows") * coverage)))
+    best = F.struct(F.size("places"), -F.abs(F.col("shift")))
+    covered = near.agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched"), F.max("item_windows").alias("item_windows"), F.max_by(F.coalesce("changed", F.lit(0)), best).alias("changed"), F.max_by("dense", best).alias("dense"))
+    share = F.when(F.col("dense") & (F.col("changed") > 0), F.lit(DENSE_COVERAGE)).otherwise(F.lit(coverage))
+    need = F.least(F.col("item_windows"), F.greatest(F.lit(LEAST_WINDOWS), F.ceil(F.col("item_windows") * share)))
     return covered.where(F.col("matched") >= need).groupBy("doc_id", "item_id").agg(
         F.max("matched").alias("matched"),
         F.max("item_windows").alias("item_windows"),
