@@ -7,7 +7,7 @@ text's score is the product over its words (runs of letters, lower-cased), and
 its language the one with the largest; ``score`` is that language's posterior.
 
 Piece probabilities are fitted by expectation-maximisation on word counts of a
-bounded, hash-chosen sample of labelled texts: each round shares every word out
+bounded, hash-chosen sample of labelled texts (all their words): each round shares every word out
 over its segmentations (forward-backward) and renormalises.  Characters outside
 the vocabulary are pieces of one shared unknown kind.
 
@@ -36,9 +36,11 @@ from .shared import prepare
 
 #: About so many labelled texts of each language are fitted on.
 SAMPLE = 1500
-#: Languages that can be told apart; more than this is an error, not a cut.
-MOST_LANGUAGES = 200
-_ROUNDS, _SMOOTH, _LONGEST = 3, 0.05, 10
+#: Languages that can be told apart: the model holds a number for each piece and language. More is an error, not a cut.
+MOST_LANGUAGES = 1000
+_ROUNDS, _SMOOTH = 3, 0.05
+#: Forward sums below this are rescaled.
+_TINY = 1e-60
 _REMEMBERED = 300_000
 _BLOCK = 20_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -63,7 +65,7 @@ def load_pieces(path: str) -> list[str]:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         body = piece.removeprefix("▁").lower()
-        if body.isalpha() and len(body) <= _LONGEST:
+        if body.isalpha():
             found.add("▁" + body if piece.startswith("▁") else body)
     return sorted(found)
 
@@ -115,6 +117,7 @@ class PieceUnigrams:
     def __init__(self, pieces: list[str], languages: list[str]):
         self.pieces, self.languages = pieces, languages
         self.index = {p: i for i, p in enumerate(pieces)}
+        self.longest = max((len(p.removeprefix("▁")) for p in pieces), default=1)
         n, k = len(pieces), max(1, len(languages))
         self.p = np.full((n + 2, k), 1.0 / (n + 1))  # row n: an unknown character; row n + 1: no piece
         self.p[-1] = 0
@@ -132,7 +135,7 @@ class PieceUnigrams:
         codes = _letters_of(words)
         n, width = codes.shape
         size = np.array([len(w) for w in words])
-        span = min(width, _LONGEST)
+        span = min(width, self.longest)
         out = np.full((n, width, span), none, dtype=np.int32)
         sums = np.zeros((n, width + 1), dtype=np.uint64)
         np.cumsum(mix64(codes.astype(np.uint64)) * _POWER[:width], axis=1, out=sums[:, 1:])
@@ -150,16 +153,38 @@ class PieceUnigrams:
         return size, out
 
     def _forward(self, size: np.ndarray, lattice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled forward sums by position (position 0 is the begin), and log10-free log scores."""
+        """Forward sums by position (position 0 is the begin), and the logarithm that each position of a word was divided by."""
         n, width, span = lattice.shape
-        k = self.p.shape[1]
-        alpha = np.zeros((width + 1, n, k))
+        alpha, scale = np.zeros((width + 1, n, self.p.shape[1])), np.zeros((width + 1, n))
         alpha[0] = 1
         for end in range(1, width + 1):
-            total = alpha[end]
+            total, before = alpha[end], scale[end - 1]
             for s in range(1, min(end, span) + 1):
-                total += alpha[end - s] * self.p[lattice[:, end - 1, s - 1]]
-        return alpha, alpha[size, np.arange(n)]
+                term = alpha[end - s] * self.p[lattice[:, end - 1, s - 1]]
+                total += term * np.exp(scale[end - s] - before)[:, None] if before.any() else term
+            scale[end] = before
+            most = total.max(axis=1)
+            if (small := (most > 0) & (most < _TINY)).any():
+                total[small] /= most[small, None]
+                scale[end, small] += np.log(most[small])
+        return alpha, scale
+
+    def _backward(self, size: np.ndarray, lattice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the end of each word."""
+        n, width, span = lattice.shape
+        beta, scale = np.zeros((width + 1, n, self.p.shape[1])), np.zeros((width + 1, n))
+        for at in range(width, -1, -1):
+            total, after = beta[at], scale[min(at + 1, width)]
+            total[size == at] = 1
+            for s in range(1, min(width - at, span) + 1):
+                term = beta[at + s] * self.p[lattice[:, at + s - 1, s - 1]]
+                total += term * np.exp(scale[at + s] - after)[:, None] if after.any() else term
+            scale[at] = after
+            most = total.max(axis=1)
+            if (small := (most > 0) & (most < _TINY)).any():
+                total[small] /= most[small, None]
+                scale[at, small] += np.log(most[small])
+        return beta, scale
 
     def log_scores(self, words: list[str]) -> np.ndarray:
         """log p(word) under each language; long words are walked with rescaling."""
@@ -178,7 +203,9 @@ class PieceUnigrams:
                     out[i] = self._long(words[i])
             else:
                 size, lattice = self._lattice([words[i] for i in part])
-                out[part] = np.log(self._forward(size, lattice)[1])
+                alpha, scale = self._forward(size, lattice)
+                each = np.arange(len(part))
+                out[part] = np.log(np.maximum(alpha[size, each], 1e-300)) + scale[size, each][:, None]
             lo = hi
         return out
 
@@ -188,24 +215,23 @@ class PieceUnigrams:
         unknown = len(self.pieces)
         for end in range(1, len(word) + 1):
             total = np.zeros(self.p.shape[1])
-            for s in range(1, min(len(window), _LONGEST) + 1):
+            for s in range(1, min(len(window), self.longest) + 1):
                 body = word[end - s : end]
                 piece = self.index.get("▁" + body, self.index.get(body)) if s == end else self.index.get(body)
                 if piece is None and s == 1:
                     piece = unknown
                 if piece is not None:
                     total += window[-s] * self.p[piece]
-            window = [w / total for w in window[-(_LONGEST - 1) :]] + [np.ones_like(total)]
+            window = [w / total for w in window[-self.longest + 1 or len(window) :]] + [np.ones_like(total)]
             scale += np.log(total)
         return scale
 
     def fit(self, counts: dict[str, np.ndarray], rounds: int = _ROUNDS) -> PieceUnigrams:
         """Expectation-maximisation from word -> counts by language."""
-        words = sorted(w for w in counts if len(w) <= 40)
         blocks, lo = [], 0
-        by_length = sorted(words, key=len)
+        by_length = sorted(sorted(counts), key=len)
         while lo < len(by_length):
-            part = by_length[lo : lo + _BLOCK]
+            part = by_length[lo : lo + max(1, min(_BLOCK, 500_000 // len(by_length[lo])))]
             part = [w for w in part if len(w) <= len(part[0]) + 3]
             blocks.append((*self._lattice(part), np.stack([counts[w] for w in part]).astype(float)))
             lo += len(part)
@@ -213,19 +239,19 @@ class PieceUnigrams:
             expected = np.full_like(self.p, _SMOOTH)
             for size, lattice, weight in blocks:
                 n, width, span = lattice.shape
-                alpha, total = self._forward(size, lattice)
-                beta = np.zeros_like(alpha)
-                beta[size, np.arange(n)] = 1
-                share = weight / total
-                for end in range(width, 0, -1):
+                alpha, up = self._forward(size, lattice)
+                beta, down = self._backward(size, lattice)
+                each = np.arange(n)
+                share, whole = weight / np.maximum(alpha[size, each], 1e-300), up[size, each]
+                for end in range(1, width + 1):
                     for s in range(1, min(end, span) + 1):
                         piece = lattice[:, end - 1, s - 1]
-                        flow = self.p[piece] * beta[end]
+                        gain = alpha[end - s] * self.p[piece] * beta[end] * share
+                        if whole.any():
+                            gain = gain * np.exp(up[end - s] + down[end] - whole)[:, None]
                         live = piece <= len(self.pieces)
-                        gain = alpha[end - s] * flow * share
                         for k in range(self.p.shape[1]):
                             expected[:, k] += np.bincount(piece[live], gain[live, k], len(expected))
-                        beta[end - s] += flow
             expected[-1] = 0
             self.p = expected / expected.sum(axis=0)
         return self
@@ -270,14 +296,14 @@ def train(docs: DataFrame, pieces_path: str, sample: int = SAMPLE) -> PieceUnigr
             keys = list(own)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([own[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
 
-    words = chosen.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where("length(word) <= 40")
-    table = words.where((F.col("n") > 1) | (F.pmod(F.xxhash64("word"), F.lit(4)) == 0)).toArrow()
+    # every distinct word of the bounded sample
+    table = chosen.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     at = {lang: k for k, lang in enumerate(languages)}
     counts: dict[str, np.ndarray] = {}
     for lang, word, n in zip(*(table.column(c).to_pylist() for c in ("lang", "word", "n"))):
         if word not in counts:
             counts[word] = np.zeros(len(languages), dtype=np.float32)
-        counts[word][at[lang]] += n if n > 1 else 4
+        counts[word][at[lang]] += n
     model = PieceUnigrams(load_pieces(pieces_path), languages)
     return model.fit(counts) if counts else model
 
