@@ -46,6 +46,12 @@ _NEWER = """
 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4
 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
 """
+# Capitals of those tables that the library's lower-casing knows, with their small letters.
+_NEWER_CAPITALS = """
+1C89 1C8A  A7CB 264  A7CC A7CD  A7CE A7CF  A7D2 A7D3  A7D4 A7D5  A7DA A7DB  A7DC 19B
+""".split()
+_LOWER = {int(c, 16): int(s, 16) for c, s in zip(_NEWER_CAPITALS[::2], _NEWER_CAPITALS[1::2])}
+_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 _NEWER_CLASS = regex.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in _NEWER.split()) + "]")
 _NONE = np.int32(2**31 - 1)
 _ROWS = 8192
@@ -197,6 +203,7 @@ class WordBpe:
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a capital sigma has one lower form, whatever follows
+            text = text.translate(_LOWER)
         text = text.lower()
         # The four separators that Python's split() knows and the pattern doesn't are symbols here.
         return _SPACES.findall(text) if _SEPARATORS.search(text) else text.split()
