@@ -13,8 +13,10 @@ pairs are needed for groups: each text first offers its best few candidates, and
 those are confirmed on full shingle sets.  Regions in which more was to be offered
 and which still hold several groups are then taken whole: every pair of texts of
 different groups there is compared on full sets (bounded by ``region`` rows), and
-one link is kept of a text to each other group.  So no candidate is dropped, and
-a large group of copies gives a few pairs per text, not all pairs.
+one link is kept of a text to each other group.  Last, offers beyond a text's best
+few over all orders are confirmed wherever the two are still in different groups.
+So no candidate is dropped, and a large group of copies gives a few pairs per
+text, not all pairs.
 
 Defined results: null and empty texts have an empty set and are linked with
 nothing; texts with fewer words than a shingle have one shingle, the whole
@@ -335,8 +337,8 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     walked = keep(_walk(orders.repartition(n, "tree", F.substring("key", 1, forest.min_depth)).sortWithinPartitions("tree", "key", "id"), forest), "offers")
     offers, crowded = walked.where("kind = 0").select("a", "b", "equal"), keep(walked.where("kind = 1").select("a", "b"), "crowded")
     best = Window.partitionBy("a").orderBy(F.desc("equal"), "b")
-    first = offers.withColumn("rank", F.dense_rank().over(best)).where(F.col("rank") <= OFFER)
-    pairs = keep(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    ranked = keep(offers.withColumn("rank", F.dense_rank().over(best)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "rank").groupBy("a", "b").agg(F.min("rank").alias("rank")), "pairs")
+    pairs, later = ranked.where(F.col("rank") <= OFFER).select("a", "b"), ranked.where(F.col("rank") > OFFER).select("a", "b")
     links = pairs if pairs.isEmpty() else keep(_confirm(docs, pairs, forest), "links")
     groups = keep(components(links), "groups")
     if not crowded.isEmpty():
@@ -344,10 +346,23 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
         more = keep(_offers(crowded, _detail(docs, crowded.select(F.col("a").alias("doc_id")), finer), groups, finer), "more-links")
         sure, rest = more.where("sure").select("a", "b"), keep(more.where("not sure").select("a", "b").distinct(), "large-pairs")
         links = links.unionByName(sure if rest.isEmpty() else sure.unionByName(_confirm(docs, rest, forest)))
+        links = keep(links.distinct(), "links")
+        groups = keep(components(links), "groups")
+    apart = keep(_apart(later, groups), "later-pairs")
+    if not apart.isEmpty():
+        links = links.unionByName(_confirm(docs, apart, forest))
         groups = keep(components(links.distinct()), "groups")
     return _labelled(sketches, classes, groups)
 
 
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are in different groups."""
+    named = small(groups)
+    for side in ("a", "b"):
+        pairs = pairs.join(named.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+    return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def _labelled(sketches: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
     groups = small(groups)
     named = classes.join(groups, classes["id"] == groups["node"], "left").select("set_key", F.coalesce("component", "id").alias("component"))
