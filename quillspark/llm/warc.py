@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import prepare, table_path
+from .shared import keep, prepare, small, table_path
 
 LEAST_BYTES = 1000
-#: Records in one archive at most; bounds the file that a reader takes at once.
-FILE_RECORDS = 4096
+#: Records in one archive at most, and bytes of payloads, which a reader takes at once; payloads of over ``LARGE`` bytes have archives of their own.
+FILE_RECORDS, FILE_BYTES, LARGE = 4096, 256 << 20, 64 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:quillspark:record:"
 _END = "\r\n"
@@ -46,7 +46,8 @@ def with_originals(records: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFr
     hashed = plain.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("long"))
     headers = hashed.select("id", "digest", "bytes").where(F.col("bytes") >= least_bytes)
     repeated = headers.groupBy("digest", "bytes").agg(F.max("id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1 and original is not null").drop("n")
-    joined = hashed.join(repeated.hint("shuffle_hash"), ["digest", "bytes"], "left")
+    # payloads travel only where too many are repeated to send the list to all
+    joined = hashed.join(small(keep(repeated, "repeated-payloads")), ["digest", "bytes"], "left")
     return joined.withColumn("original", F.when(F.col("id").eqNullSafe(F.col("original")), F.lit(None)).otherwise(F.col("original")))
 
 
@@ -71,7 +72,10 @@ def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:
         F.lit(_END),
         block,
     )
-    found.select(value.alias("value")).write.option("lineSep", _END + _END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    large = F.col("bytes") > LARGE
+    longest = found.agg(F.max("bytes")).first()[0] or 0
+    for name, chosen, each in (("small", ~large, FILE_RECORDS), ("large", large, max(1, FILE_BYTES // (longest or 1)))):
+        found.where(chosen).select(value.alias("value")).write.option("lineSep", _END + _END).option("compression", "gzip").option("maxRecordsPerFile", each).text(f"{path}/{name}")
 
 
 def parse(stream):
@@ -127,7 +131,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                 if rows:
                     yield _rows(rows, payloads)
 
-    files = prepare(spark).read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = prepare(spark).read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("content")
     return files.mapInArrow(run, _RECORDS + (", payload binary" if payloads else ""))
 
 
