@@ -98,11 +98,15 @@ class _PieceIndex:
 
 
 _BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
 _BEGIN = np.uint64(0xD6E8FEB86659FD93)
-_WIDTH = 64
-with np.errstate(over="ignore"):
-    _POWER = np.array([pow(_BASE, i, 2**64) for i in range(_WIDTH + 1)], dtype=np.uint64)
-    _INVERSE = np.array([pow(pow(_BASE, -1, 2**64), i, 2**64) for i in range(_WIDTH + 1)], dtype=np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** i modulo 2 ** 64, for i from 0 to n."""
+    out = np.full(n + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 def _letters_of(words: list[str]) -> np.ndarray:
@@ -125,7 +129,7 @@ class PieceUnigrams:
         hashes = np.zeros(n, dtype=np.uint64)
         if n:
             bodies = _letters_of([p.removeprefix("▁") for p in pieces])
-            hashes = mix64((mix64(bodies.astype(np.uint64)) * (bodies != 0) * _POWER[: bodies.shape[1]]).sum(axis=1, dtype=np.uint64))
+            hashes = mix64((mix64(bodies.astype(np.uint64)) * (bodies != 0) * _powers(_BASE, bodies.shape[1])[:-1]).sum(axis=1, dtype=np.uint64))
             hashes = np.where([p.startswith("▁") for p in pieces], hashes ^ _BEGIN, hashes)
         self.table = _PieceIndex(hashes)
 
@@ -138,10 +142,11 @@ class PieceUnigrams:
         span = min(width, self.longest)
         out = np.full((n, width, span), none, dtype=np.int32)
         sums = np.zeros((n, width + 1), dtype=np.uint64)
-        np.cumsum(mix64(codes.astype(np.uint64)) * _POWER[:width], axis=1, out=sums[:, 1:])
+        power, inverse = _powers(_BASE, width), _powers(_INVERSE, width)
+        np.cumsum(mix64(codes.astype(np.uint64)) * power[:-1], axis=1, out=sums[:, 1:])
         ends = np.arange(1, width + 1)
         for s in range(1, span + 1):
-            h = mix64((sums[:, s:] - sums[:, : width + 1 - s]) * _INVERSE[: width + 1 - s])
+            h = mix64((sums[:, s:] - sums[:, : width + 1 - s]) * inverse[: width + 1 - s])
             found = self.table.find(h)
             begin = self.table.find(h[:, :1] ^ _BEGIN)
             found[:, :1] = np.where(begin >= 0, begin, found[:, :1])

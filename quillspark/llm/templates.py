@@ -129,13 +129,11 @@ class WindowTable:
         return maybe[self.sorted[at] == h[maybe]]
 
 
-def _windows(shown: np.ndarray, value: np.ndarray, sums: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the windows of template words; of values where a window has too few plain words."""
+def _windows(shown: np.ndarray, value: np.ndarray, sums: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of template words, of values where a window has too few plain words; and which those are."""
     h = window_hashes(shown, size)
-    if len(h):
-        bare = np.flatnonzero(size - (sums[size:] - sums[:-size]) < min(LEAST_PLAIN, size))
-        h[bare] = ~window_hashes(value, size)[bare]
-    return h
+    bare = size - (sums[size:] - sums[:-size]) < min(LEAST_PLAIN, size) if len(h) else np.zeros(0, dtype=bool)
+    return np.where(bare, ~window_hashes(value, size), h), bare
 
 
 _WINDOWS = "id long, window long, place int, n_windows int, size int, slots array<long>"
@@ -160,7 +158,7 @@ def template_windows(rows: DataFrame, id_column: str, sizes: list[int], wanted:
                 for size in sizes:
                     lengths = {*np.minimum(np.diff(begin), size).tolist()} - {0} if items else [size]
                     hashes = {z: _windows(shown, value, sums, z) for z in lengths}
-                    for z, h in hashes.items():
+                    for z, (h, bare) in hashes.items():
                         if wanted is not None:
                             found = wanted[z].find(h)
                         else:
@@ -170,7 +168,7 @@ def template_windows(rows: DataFrame, id_column: str, sizes: list[int], wanted:
                         if items:
                             fits &= np.minimum(np.diff(begin), size)[own] == z
                         for f, o in zip(found[fits].tolist(), own[fits].tolist()):
-                            k = kind[f : f + z] > 0
+                            k = (kind[f : f + z] > 0) & ~bare[f]  # the values of a bare window are equal
                             for part, x in zip(parts, (ids[lo + o], h[f], f - begin[o], begin[o + 1] - begin[o] - z + 1, z, value[f : f + z][k].astype(np.int64).tolist())):
                                 part.append(x)
                 if parts[0]:

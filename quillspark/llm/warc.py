@@ -14,8 +14,8 @@ joins each revisit to an original response.
 
 Defined results: a null payload is an empty one; payloads shorter than
 ``least_bytes`` are always responses; of equal payloads the largest id is the
-response, and rows that repeat that very id and payload are responses too; a null
-id counts as smaller than all others; line ends in a URI become spaces; a revisit
+response, and rows that repeat that very id and payload are responses too (their
+record ids have a number behind the id); a null id counts as smaller than all others; line ends in a URI become spaces; a revisit
 whose response isn't there resolves to nulls; an empty table writes an archive
 without records.
 """
@@ -58,7 +58,11 @@ def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "), F.col("bytes"), F.lit(_END + _END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(_END))
-    own = F.concat(F.lit(f"<{_ID}"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">"))
+    # a null id, and one of several rows, gets a number of its own behind it, as record ids are unique
+    again = keep(found.where("id is not null").groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("again")), "repeated-ids")
+    found = found.join(small(again), "id", "left")
+    number = F.when(F.col("id").isNull() | F.col("again"), F.concat(F.lit(":"), F.monotonically_increasing_id().cast("string"))).otherwise("")
+    own = F.concat(F.lit(f"<{_ID}"), F.coalesce(F.col("id").cast("string"), F.lit("")), number, F.lit(">"))
     value = F.concat(
         F.lit(f"WARC/1.1{_END}"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
@@ -100,7 +104,7 @@ def parse(stream):
 
 
 def _record_id(value: str | None) -> int | None:
-    body = (value or "").strip("<>").removeprefix(_ID)
+    body = (value or "").strip("<>").removeprefix(_ID).partition(":")[0]
     return int(body) if body.lstrip("-").isdigit() else None
 
 
