@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -24,16 +26,29 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, from spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """The folder every executor can reach, from spark.checkpoint.dir.
+
+    Where that is unset, a session of one machine gets a temporary folder, as in tests;
+    on a cluster it is an error, as executors would each write to their own disk.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+#: Folders of intermediate tables that this process has written and not deleted.
+_written: list[str] = []
+
+
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(discard, spark)
+    _written.append(f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -43,6 +58,23 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, but: DataFrame | None = None) -> None:
+    """Delete the intermediate tables written so far, except those that ``but`` reads; results not yet written need theirs.
+
+    What is left when the process ends goes then, if the session still runs.
+    """
+    if spark.sparkContext._jsc is None:
+        return
+    needed = {f.rpartition("/")[0] for f in but.inputFiles()} if but is not None else set()
+    base = lambda path: path.split(":", 1)[-1].lstrip("/")
+    held = {base(f) for f in needed}
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in _written if base(p) not in held]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        _written.remove(path)
+
+
 #: Rows of ids up to this many (some 30 MB) are sent to all executors; beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
