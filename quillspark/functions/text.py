@@ -22,7 +22,7 @@ from . import words as W
 def _folds() -> tuple[str, str, dict[str, str]]:
     """Single-letter ASCII folds for translate(), and characters that fold to several letters; from the Unicode tables."""
     one_from, one_to, many = [], [], {}
-    for code in [*range(0x80, 0xD800), *range(0xE000, 0x10000)]:
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
         c = chr(code)
         folded = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
         if len(folded) == 1:
@@ -49,38 +49,40 @@ def ascii_fold(c: Column) -> Column:
 
     def spell(x: Column) -> Column:
         spelled = F.array_join(F.transform(F.split(x, ""), lambda y: F.coalesce(F.try_element_at(table, y), y)), "")
-        return F.when(F.translate(x, "".join(many), "") != x, spelled).otherwise(x)  # a table lookup; a class of so many characters is slow
+        # most texts hold no more than European letters and quotes, of which none is spelled; the rest is looked up in a table
+        odd = x.rlike("[^\\x00-\\u00BB\\u00BF-\\u0131\\u0134-\\u017F\\u2010-\\u201F]")
+        return F.when(odd & (F.translate(x, "".join(many), "") != x), spelled).otherwise(x)
 
     fold = lambda x: F.regexp_replace(F.translate(let(x, spell), source, target), r"[^\x00-\x7F]", "")
     return let(c, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), fold(x)).otherwise(x))
 
 
-def _kept_tokens(c: Column, keep) -> Column:
-    bare = F.transform(F.split(F.regexp_replace(c, "[^a-z0-9']+", " "), " "), lambda t: F.btrim(t, F.lit("'")))
-    return F.filter(bare, lambda t: (t != "") & keep(t))
+#: Around a word between spaces.
+_FROM, _TO = "(?<![^ ])", "(?![^ ])"
+#: Words that both families drop: letters mixed with digits, and one character that is no word.
+_NO_WORDS = "[0-9]+[a-z][a-z0-9']*|[a-z'][a-z0-9']*?[0-9][a-z0-9']*|[0-9][0-9']*'[0-9']*[a-z][a-z0-9']*|[b-hj-z0-9]"
 
 
-def _mixed(t: Column) -> Column:
-    return t.rlike("[a-z]") & t.rlike("[0-9]")
-
-
-def _letter_or_word(t: Column) -> Column:
-    return (F.length(t) > 1) | t.isin("a", "i")
+def _kept_words(c: Column, dropped: list[str]) -> Column:
+    """Words of a lower-cased text, one space between them, without quotes around them and without those that ``dropped`` (patterns) match."""
+    # spaces are left alone until the end: each match costs
+    apart = F.regexp_replace(c, "[^a-z0-9' ]+", " ")
+    bare = let(apart, lambda x: F.when(x.contains("'"), F.regexp_replace(x, f"'+{_TO}|{_FROM}'+", "")).otherwise(x))
+    kept = F.regexp_replace(bare, f"{_FROM}(?:{'|'.join([*dropped, _NO_WORDS])}){_TO}", "")
+    return F.btrim(F.regexp_replace(kept, "  +", " "))
 
 
 def local_clean(c: Column) -> Column:
     text = F.regexp_replace(F.lower(ascii_fold(straight_quotes(c))), r"(?<=[0-9]),(?=[0-9])", "")
-    joined = F.array_join(_kept_tokens(text, lambda t: ~t.isin(W.LOCAL_IGNORE_WORDS) & ~_mixed(t) & _letter_or_word(t)), " ")
     table = F.from_json(F.lit(json.dumps({k: " ".join(v) for k, v in W.FUSED_TOKENS.items()})), "map<string,string>")
     fused = "(^| )(" + "|".join(W.FUSED_TOKENS) + ")( |$)"
     split = lambda j: F.array_join(F.transform(F.split(j, " "), lambda t: F.coalesce(F.try_element_at(table, t), t)), " ")
-    return let(joined, lambda j: F.when(j.rlike(fused), split(j)).otherwise(j))
+    return let(_kept_words(text, W.LOCAL_IGNORE_WORDS), lambda j: F.when(j.rlike(fused), split(j)).otherwise(j))
 
 
 def legacy_clean(c: Column) -> Column:
-    text = F.lower(straight_quotes(c))
-    tokens = _kept_tokens(text, lambda t: ~t.rlike("^[0-9]+$") & ~_mixed(t) & ~t.isin(W.LEGACY_IGNORE_WORDS) & _letter_or_word(t))
-    return F.regexp_replace(F.array_join(tokens, " "), "^(i am not scared(?: .*)?) we$", "$1")
+    words = _kept_words(F.lower(straight_quotes(c)), [*W.LEGACY_IGNORE_WORDS, "[0-9]+"])
+    return F.regexp_replace(words, "^(i am not scared(?: .*)?) we$", "$1")
 
 
 def tokens(clean: Column) -> Column:
@@ -119,8 +121,7 @@ def reject_frame(normalized: Column, raw_clean: Column, ts: Column, o) -> Column
 
 
 def useful_fallback_word(clean: Column) -> Column:
-    short = "a i am an and are fun hot no not now or of pan pit the tub to is we yes you".split()
-    return (clean != "") & ~clean.isin(W.LEGACY_IGNORE_WORDS) & ((F.length(clean) > 3) | clean.isin(short))
+    return (clean != "") & ~clean.isin(W.LEGACY_IGNORE_WORDS) & ((F.length(clean) > 3) | clean.isin(W.USEFUL_SHORT_WORDS))
 
 
 def keep_unmatched_token(t: Column) -> Column:

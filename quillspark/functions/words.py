@@ -49,6 +49,8 @@ TITLE_REJECT_PHRASES = ["illustrated by", "tllustrated", "tlustrated", "lustrate
 
 AD_ITEM_WORDS = "subscribe subscribed ubscribe bscribe scribe app store google play download watching".split()
 
+USEFUL_SHORT_WORDS = "a i am an and are fun hot no not now or of pan pit the tub to is we yes you".split()
+
 ALLOWED_SHORT_TOKENS = "a i am an as at be by do go he hi if in is it me my no of oh ok on or so to um up us we".split()
 
 TRAILING_FRAGMENT_TOKENS = "a an and as at but for if in of on or so that the to when where which who with".split()

@@ -81,7 +81,7 @@ def trim_fragment_suffix(spark, sf_dir):
     return _legacy(spark, sf_dir).select("doc_id", F.size(X.trim_fragment(X.tokens(F.col("c")))).cast("long").alias("kept"))
 
 
-@query("useful_fallback_words", f"SELECT doc_id, len(list_filter(t, lambda w: len(w) > 3 OR w IN {listed('a i am an and are fun hot no not now or of pan pit the tub to is we yes you'.split())})) AS useful FROM {LEGACY_T}")
+@query("useful_fallback_words", f"SELECT doc_id, len(list_filter(t, lambda w: len(w) > 3 OR w IN {listed(W.USEFUL_SHORT_WORDS)})) AS useful FROM {LEGACY_T}")
 def useful_fallback_words(spark, sf_dir):
     return _legacy(spark, sf_dir).select("doc_id", F.size(F.filter(X.tokens(F.col("c")), X.useful_fallback_word)).cast("long").alias("useful"))
 
@@ -141,7 +141,8 @@ def sentence_text(spark, sf_dir):
 @query("plural_variants", "SELECT a.item_id, count(*) AS pairs FROM (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark) a JOIN (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark) b ON a.item_id = b.item_id AND (a.w = b.w || 's' OR b.w = a.w || 's') GROUP BY a.item_id")
 def plural_variants(spark, sf_dir):
     w = read(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), " ")).alias("w")).distinct()
-    longer = w.select("item_id", F.concat("w", F.lit("s")).alias("w")).join(w, ["item_id", "w"])
+    # words meet their plurals by equality; the operator has the last word
+    longer = w.select("item_id", F.col("w").alias("one"), F.concat("w", F.lit("s")).alias("w")).join(w, ["item_id", "w"]).where(X.plural_variant(F.col("one"), F.col("w")))
     return longer.groupBy("item_id").agg((F.count(F.lit(1)) * 2).alias("pairs"))
 
 
@@ -177,7 +178,9 @@ def cue_texts(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.md5(vtt.cue_text(F.col("html")).cast("binary")).alias("cue"))
 
 
-_CUES = """SELECT conv_id AS video, turn AS cue, turn * 10.0 AS start, turn * 10.0 + 2.5 AS "end", trim(regexp_replace(replace(replace(text, '<', ''), '>', ''), '\\s+', ' ', 'g'), ' ') AS text FROM conversations WHERE trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') <> ''"""
+_CUE = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '^<v\s+[^>]+>', '', 'i'), '<[^>]+>', '', 'g'), '\{{[^}}]+\}}', ' ', 'g'), '\[[^\]]+\]', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'), ' ')"""
+_SPOKEN = r"regexp_replace(replace(replace(text, '<', ''), '>', ''), '\s+', ' ', 'g')"
+_CUES = f"""SELECT conv_id AS video, turn * 10.0 AS start, turn * 10.0 + 2.5 AS "end", {_CUE.format(f"translate({_SPOKEN}, '’‘“”', '''''""')")} AS text FROM conversations WHERE trim({_SPOKEN}, ' ') <> ''"""
 
 
 def _vtt_files(spark, sf_dir):
@@ -188,10 +191,9 @@ def _vtt_files(spark, sf_dir):
     return files.select("video", F.concat(F.lit("WEBVTT\n\n"), "body").alias("value"))
 
 
-@query("vtt_parse", f'SELECT video, start, "end", md5(text) AS text FROM ({_CUES}) WHERE NOT regexp_matches(text, \'[&{{\\[]\')')
+@query("vtt_parse", f'SELECT video, start, "end", md5(text) AS text FROM ({_CUES}) WHERE text <> \'\'')
 def vtt_parse(spark, sf_dir):
-    cues = vtt.parse(_vtt_files(spark, sf_dir))
-    return cues.where("not rlike(text, '[&{\\\\[]')").select("video", "start", "end", F.md5(F.col("text").cast("binary")).alias("text"))
+    return vtt.parse(_vtt_files(spark, sf_dir)).select("video", "start", "end", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 @query("vtt_times", "SELECT turn, turn * 61.5 + 0.25 AS seconds FROM (SELECT DISTINCT turn FROM conversations)")
