@@ -36,12 +36,15 @@ def _pages_agree(a: Column, b: Column) -> Column:
     return (a == "") | (b == "") | (a == b)
 
 
-def stability(obs: DataFrame, measure: Measure, window: float = 0.75, alike: float = 0.82) -> DataFrame:
-    """video, obs_seq, stability: mean similarity of alike neighbours in time, times half their number up to 1; 0 without any."""
-    own = obs.select("video", "obs_seq", "ts", "page_id", "normalized")
+def stability(obs: DataFrame, measure: Measure, window: float = 0.75, alike: float = 0.82, on: str = "normalized") -> DataFrame:
+    """video, obs_seq, stability: mean similarity of alike neighbours in time, times half their number up to 1; 0 without any.
+
+    ``on``: the column that ``measure`` compares; a column of token sets is made once per text, not once per pair.
+    """
+    own = obs.select("video", "obs_seq", "ts", "page_id", on)
     pairs = _near(own, own, F.col("ts") - window, F.col("ts") + window, 4 * window)
     pairs = pairs.where((F.col("obs_seq") != F.col("obs_seq_r")) & _pages_agree(F.col("page_id"), F.col("page_id_r")))
-    scored = pairs.withColumn("s", measure(F.col("normalized"), F.col("normalized_r"))).where(F.col("s") >= alike)
+    scored = pairs.withColumn("s", measure(F.col(on), F.col(f"{on}_r"))).where(F.col("s") >= alike)
     sums = scored.groupBy("video", "obs_seq").agg((F.avg("s") * F.least(F.lit(1.0), F.count("s") / 2.0)).alias("stability"))
     return own.select("video", "obs_seq").join(sums, ["video", "obs_seq"], "left").withColumn("stability", F.coalesce("stability", F.lit(0.0)))
 
@@ -90,12 +93,21 @@ def token_extra(a: Column, b: Column) -> Column:
     return F.when(F.size(t) == 0, F.lit(0.0)).otherwise(F.size(F.array_except(t, X.token_set(a))) / F.greatest(F.size(t), F.lit(1)))
 
 
-def score(pairs: DataFrame, coverage: Measure, extra: Measure) -> DataFrame:
+def set_coverage(a: Column, b: Column) -> Column:
+    """Share of one token set that another holds."""
+    return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)))
+
+
+def set_extra(a: Column, b: Column) -> Column:
+    return F.when(F.size(b) == 0, F.lit(0.0)).otherwise(F.size(F.array_except(b, a)) / F.greatest(F.size(b), F.lit(1)))
+
+
+def score(pairs: DataFrame, coverage: Measure, extra: Measure, on: str = "normalized") -> DataFrame:
     """Adds coverage, extra, score and warnings (names, in order) to unit-observation rows.
 
-    Wants unit_normalized, normalized, conf, ink, word_count, stability, page_score, page_duration and edge_gap.
+    Wants unit_normalized, normalized (or other columns for the measures: ``on``), conf, ink, word_count, stability, page_score, page_duration and edge_gap.
     """
-    u, o = F.col("unit_normalized"), F.col("normalized")
+    u, o = F.col(f"unit_{on}"), F.col(on)
     rows = pairs.withColumn("coverage", coverage(u, o)).withColumn("extra", extra(u, o))
     total = (
         F.col("coverage") * 80.0
@@ -170,29 +182,29 @@ def coalesce_same_frame(selected: DataFrame) -> DataFrame:
     )
 
 
-def units_from_observations(obs: DataFrame, measure: Measure, gap: float = 3.0, alike: float = 0.70, keys: tuple[str, ...] = ()) -> DataFrame:
+def units_from_observations(obs: DataFrame, measure: Measure, gap: float = 3.0, alike: float = 0.70, on: str = "normalized") -> DataFrame:
     """Sessions of observations, blends dropped: unit_id, text, normalized, start, end, source, numbered from 1 in each video.
 
     A row goes on with the one before it on an agreeing page, at most ``gap`` later and alike enough.
     """
     order = ["ts", "obs_seq"]
     w = Window.partitionBy("video").orderBy(*order)
-    lagged = obs.withColumn("_t", F.lag("ts").over(w)).withColumn("_n", F.lag("normalized").over(w)).withColumn("_p", F.lag("page_id").over(w))
-    lagged = lagged.withColumn("_s", measure(F.col("normalized"), F.coalesce("_n", F.lit(""))))
+    lagged = obs.withColumn("_t", F.lag("ts").over(w)).withColumn("_n", F.lag(on).over(w)).withColumn("_p", F.lag("page_id").over(w))
+    none = F.lit("") if on == "normalized" else F.array().cast(dict(obs.dtypes)[on])
+    lagged = lagged.withColumn("_s", measure(F.col(on), F.coalesce("_n", none)))
     joined = F.col("_t").isNotNull() & _pages_agree(F.col("page_id"), F.coalesce("_p", F.lit(""))) & (F.col("ts") - F.col("_t") <= gap) & (F.col("_s") >= alike)
     runs = islands(lagged, joined, order)
     best = F.struct("word_count", "ink", "conf", "ts", -F.col("obs_seq"))
-    groups = runs.groupBy("video", "island").agg(F.count(F.lit(1)).alias("n"), F.max_by("text", best).alias("text"), F.max_by("normalized", best).alias("normalized"), F.min("ts").alias("start"), F.max("ts").alias("end"))
-    kept = drop_blends(groups)
+    groups = runs.groupBy("video", "island").agg(F.count(F.lit(1)).alias("n"), F.max_by("text", best).alias("text"), F.max_by("normalized", best).alias("normalized"), F.max_by(on, best).alias("_on"), F.min("ts").alias("start"), F.max("ts").alias("end"))
+    kept = drop_blends(groups.withColumn("_c", X.token_set(F.col("_on")) if on == "normalized" else F.col("_on")))
     seq = F.row_number().over(Window.partitionBy("video").orderBy("island"))
     return kept.select("video", seq.alias("unit_seq"), F.format_string("ocr-%04d", seq).alias("unit_id"), "text", "normalized", "start", "end", F.lit("ocr-temporal").alias("source"))
 
 
 def drop_blends(groups: DataFrame) -> DataFrame:
-    """Without single-frame groups between two others whose words hold both neighbours' and more."""
+    """Without single-frame groups between two others whose words (token set _c) hold both neighbours' and more."""
     w = Window.partitionBy("video").orderBy("island")
-    rows = groups.withColumn("_c", X.token_set(F.col("normalized")))
-    rows = rows.withColumn("_b", F.lag("_c").over(w)).withColumn("_a", F.lead("_c").over(w))
+    rows = groups.withColumn("_b", F.lag("_c").over(w)).withColumn("_a", F.lead("_c").over(w))
     c, b, a = F.col("_c"), F.col("_b"), F.col("_a")
     inside = (F.size(b) > 0) & (F.size(a) > 0) & (F.size(F.array_except(b, c)) == 0) & (F.size(F.array_except(a, c)) == 0)
     blend = (F.col("n") <= 1) & b.isNotNull() & a.isNotNull() & inside & (F.size(c) > F.greatest(F.size(b), F.size(a)))
@@ -243,14 +255,14 @@ def refine_with_ocr(units: DataFrame, obs: DataFrame, padding: float = 0.5, buck
     return with_ocr.select(units.columns).unionByName(top.where("_text is null").select(units.columns))
 
 
-def nearest_clean(obs: DataFrame, measure: Measure, reach: float = 8.0, alike: float = 0.55) -> DataFrame:
+def nearest_clean(obs: DataFrame, measure: Measure, reach: float = 8.0, alike: float = 0.55, on: str = "normalized") -> DataFrame:
     """video, obs_seq, nearest_seq: of ad-free rows on the very same page, alike and near: least region noise, past first, then nearest.
 
     Wants has_ads (boolean) and noise (double).
     """
-    own = obs.select("video", "obs_seq", "ts", "page_id", "normalized", "has_ads", "noise")
+    own = obs.select("video", "obs_seq", "ts", "page_id", on, "has_ads", "noise")
     pairs = _near(own, own, F.col("ts") - reach, F.col("ts") + reach, 2 * reach).where((F.col("obs_seq") != F.col("obs_seq_r")) & ~F.col("has_ads_r") & (F.col("page_id") == F.col("page_id_r")))
-    alike_rows = pairs.withColumn("_m", measure(F.col("normalized_r"), F.col("normalized"))).where(F.col("_m") >= alike)
+    alike_rows = pairs.withColumn("_m", measure(F.col(f"{on}_r"), F.col(on))).where(F.col("_m") >= alike)
     order = F.struct("noise_r", (F.col("ts_r") > F.col("ts")).cast("int"), F.abs(F.col("ts_r") - F.col("ts")), "obs_seq_r")
     return alike_rows.groupBy("video", "obs_seq").agg(F.min_by("obs_seq_r", order).alias("nearest_seq"))
 

@@ -12,6 +12,8 @@ from .registry import query, sql_any, sql_jaccard, sql_local, sql_words
 
 _U = f"u AS MATERIALIZED ({views.UNITS}), s AS ({views.STORIES})"
 _O = f"o AS MATERIALIZED ({views.OBSERVATIONS})"
+#: Observations with the words of their documents, and pairs of documents with what they share.
+_W = f"{views.WORDS}, {views.SHARED}, o AS MATERIALIZED ({views.OBSERVED_WORDS})"
 _P = f"p AS MATERIALIZED ({views.PAGES})"
 
 
@@ -66,11 +68,11 @@ def fill_page_gaps(spark, sf_dir):
     return intervals.fill_page_gaps(_short_pages(spark, sf_dir), views.page_stories(spark, sf_dir))
 
 
-_WIN = "w AS (SELECT video, ts AS start, ts + 2.0 AS \"end\" FROM o WHERE obs_seq % 3 = 0)"
+_WIN = "w AS (SELECT video, ts AS start, ts + 2.0 AS \"end\" FROM o)"
 
 
 def _obs_windows(spark, sf_dir):
-    return views.observations(spark, sf_dir).where("obs_seq % 3 = 0").select("video", F.col("ts").alias("start"), (F.col("ts") + 2.0).alias("end"))
+    return views.observations(spark, sf_dir).select("video", F.col("ts").alias("start"), (F.col("ts") + 2.0).alias("end"))
 
 
 _GROWN = """SELECT w.video, greatest(story_start, q.start) AS start, least(story_end, q."end") AS "end" FROM w JOIN q ON w.video = q.video AND least(w."end", q."end") - greatest(w.start, q.start) > 0 JOIN st ON st.video = w.video
@@ -97,16 +99,25 @@ def page_assign(spark, sf_dir):
     return intervals.assign_pages(views.observations(spark, sf_dir), views.pages(spark, sf_dir), 168.0).select("video", "obs_seq", "page_id")
 
 
-_TOK = f"o2 AS MATERIALIZED (SELECT *, list_distinct({sql_words('normalized')}) AS k FROM o)"
-_SESSION = """r AS (SELECT *, lag(ts) OVER w AS lt, lag(page_id) OVER w AS lp, lag(k) OVER w AS lk FROM o2 WINDOW w AS (PARTITION BY video ORDER BY ts, obs_seq)),
- i AS (SELECT *, sum(CASE WHEN lt IS NOT NULL AND (page_id = '' OR lp = '' OR page_id = lp) AND ts - lt <= 6.0 {alike} THEN 0 ELSE 1 END) OVER (PARTITION BY video ORDER BY ts, obs_seq ROWS UNBOUNDED PRECEDING) AS island FROM r)"""
+def _shared(a: str, b: str) -> str:
+    """Left join of the words that two rows' documents share."""
+    return f"LEFT JOIN ov ON ov.x = {a} AND ov.y = {b}"
 
 
-def _sessions(spark, sf_dir, measure, alike, whole=False):
-    return select.units_from_observations(views.observations(spark, sf_dir, whole), measure, 6.0, alike)
+def _alike(a: str, b: str) -> str:
+    """Jaccard of two numbers of distinct words, next to _shared()."""
+    return f"(CASE WHEN coalesce({a}, 0) = 0 OR coalesce({b}, 0) = 0 THEN 0.0 ELSE coalesce(ov.c, 0) / ({a} + {b} - coalesce(ov.c, 0))::DOUBLE END)"
 
 
-@query("sessionise_gap", f"WITH {_O}, {_TOK}, {_SESSION.format(alike='')}, g AS (SELECT video, island, min(ts) AS start, max(ts) AS \"end\", count(*) AS n FROM i GROUP BY video, island) SELECT video, start, \"end\", n FROM g")
+_SESSION = """r AS (SELECT *, lag(ts) OVER w AS lt, lag(page_id) OVER w AS lp {also} FROM o WINDOW w AS (PARTITION BY video ORDER BY ts, obs_seq)),
+ i AS (SELECT *, sum(CASE WHEN lt IS NOT NULL AND (page_id = '' OR lp = '' OR page_id = lp) AND ts - lt <= 6.0 {alike} THEN 0 ELSE 1 END) OVER (PARTITION BY video ORDER BY ts, obs_seq ROWS UNBOUNDED PRECEDING) AS island FROM r {join})"""
+
+
+def _sessions(spark, sf_dir, measure, alike, on="normalized"):
+    return select.units_from_observations(views.observations(spark, sf_dir), measure, 6.0, alike, on)
+
+
+@query("sessionise_gap", f"WITH {_O}, {_SESSION.format(also='', alike='', join='')}, g AS (SELECT video, island, min(ts) AS start, max(ts) AS \"end\", count(*) AS n FROM i GROUP BY video, island) SELECT video, start, \"end\", n FROM g")
 def sessionise_gap(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -117,32 +128,32 @@ def sessionise_gap(spark, sf_dir):
     return intervals.islands(o, joined, ["ts", "obs_seq"]).groupBy("video", "island").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n")).drop("island")
 
 
-_JAC = sql_jaccard("k", "coalesce(lk, [])")
-_INSIDE = "len(list_filter({0}, lambda w: NOT list_contains(c, w))) = 0"
+_RUNS = _SESSION.format(also=", lag(doc_id) OVER w AS ld, lag(nk) OVER w AS ln", alike=f"AND {_alike('nk', 'ln')} >= 0.1", join=_shared("doc_id", "ld"))
 
 
-@query("sessionise_jaccard", f"""WITH {_O}, {_TOK}, {_SESSION.format(alike=f'AND {_JAC} >= 0.05')},
- g AS (SELECT video, island, count(*) AS n, min(ts) AS start, max(ts) AS "end", arg_max(k, row(word_count, ink, conf, ts, -obs_seq)) AS c, arg_max(obs_seq, row(word_count, ink, conf, ts, -obs_seq)) AS best FROM i GROUP BY video, island),
- h AS (SELECT *, lag(c) OVER v AS b, lead(c) OVER v AS a FROM g WINDOW v AS (PARTITION BY video ORDER BY island))
- SELECT video, start, "end", row_number() OVER (PARTITION BY video ORDER BY island) AS unit_seq FROM h WHERE NOT coalesce(n <= 1 AND len(b) > 0 AND len(a) > 0 AND {_INSIDE.format('b')} AND {_INSIDE.format('a')} AND len(c) > greatest(len(a), len(b)), false)""")
+@query("sessionise_jaccard", f"""WITH {_W}, {_RUNS},
+ g AS (SELECT video, island, count(*) AS n, min(ts) AS start, max(ts) AS "end", arg_max(doc_id, row(word_count, ink, conf, ts, -obs_seq)) AS c, arg_max(nk, row(word_count, ink, conf, ts, -obs_seq)) AS nc FROM i GROUP BY video, island),
+ h AS (SELECT *, lag(c) OVER v AS b, lead(c) OVER v AS a, lag(nc) OVER v AS nb, lead(nc) OVER v AS na FROM g WINDOW v AS (PARTITION BY video ORDER BY island)),
+ q AS (SELECT h.*, coalesce(y.c, 0) AS cb, coalesce(z.c, 0) AS ca FROM h LEFT JOIN ov y ON y.x = h.b AND y.y = h.c LEFT JOIN ov z ON z.x = h.a AND z.y = h.c)
+ SELECT video, start, "end", row_number() OVER (PARTITION BY video ORDER BY island) AS unit_seq FROM q WHERE NOT coalesce(n <= 1 AND nb > 0 AND na > 0 AND cb = nb AND ca = na AND nc > greatest(nb, na), false)""")
 def sessionise_jaccard(spark, sf_dir):
-    return _sessions(spark, sf_dir, select.jaccard_of, 0.05).select("video", "start", "end", F.col("unit_seq").cast("long"))
+    return _sessions(spark, sf_dir, X.jaccard, 0.1, "tokens").select("video", "start", "end", F.col("unit_seq").cast("long"))
 
 
 @query("sessionise_full")
 def sessionise_full(spark, sf_dir):
     from ..functions import fuzzy
 
-    return _sessions(spark, sf_dir, fuzzy.state_similarity_col, 0.70, whole=True)
+    return _sessions(spark, sf_dir, fuzzy.state_similarity_col, 0.70)
 
 
-_STAB = f"""WITH {_O}, {_TOK}, pr AS (SELECT a.video, a.obs_seq, {sql_jaccard('a.k', 'b.k')} AS m FROM o2 a JOIN o2 b ON a.video = b.video AND a.obs_seq <> b.obs_seq AND abs(a.ts - b.ts) <= 24.0 AND (a.page_id = '' OR b.page_id = '' OR a.page_id = b.page_id)),
+_STAB = f"""WITH {_W}, pr AS (SELECT a.video, a.obs_seq, {_alike('a.nk', 'b.nk')} AS m FROM o a JOIN o b ON a.video = b.video AND a.obs_seq <> b.obs_seq AND abs(a.ts - b.ts) <= 24.0 AND (a.page_id = '' OR b.page_id = '' OR a.page_id = b.page_id) {_shared('a.doc_id', 'b.doc_id')}),
  t AS (SELECT video, obs_seq, avg(m) * least(1.0, count(*) / 2.0) AS stability FROM pr WHERE m >= 0.05 GROUP BY video, obs_seq) SELECT o.video, o.obs_seq, round(coalesce(stability, 0.0), 6) AS stability FROM o LEFT JOIN t USING (video, obs_seq)"""
 
 
 @query("stability_jaccard", _STAB)
 def stability_jaccard(spark, sf_dir):
-    s = select.stability(views.observations(spark, sf_dir), select.jaccard_of, 24.0, 0.05)
+    s = select.stability(views.observations(spark, sf_dir), X.jaccard, 24.0, 0.05, "tokens")
     return s.select("video", "obs_seq", F.round("stability", 6).alias("stability"))
 
 
@@ -159,7 +170,7 @@ def page_edges(spark, sf_dir):
 
 
 _TIERS = f"""ou AS (SELECT user_id AS video, event_id AS unit_seq, {views.HOURS} AS start, {views.HOURS} + 12.0 AS "end" FROM events WHERE event_type = 'purchase'),
- a AS MATERIALIZED (SELECT o.video, o.obs_seq, any_value(o.ts) AS ts, coalesce(min_by(p.page_id, p.page_seq), '') AS page_id, any_value(o.k) AS k, any_value(o.conf) AS conf, any_value(o.ink) AS ink, any_value(o.word_count) AS word_count FROM o2 o LEFT JOIN p ON p.video = o.video AND o.ts BETWEEN p.start AND p."end" GROUP BY o.video, o.obs_seq),
+ a AS MATERIALIZED (SELECT o.video, o.obs_seq, any_value(o.ts) AS ts, coalesce(min_by(p.page_id, p.page_seq), '') AS page_id, any_value(o.doc_id) AS doc_id, any_value(o.nk) AS nk, any_value(o.conf) AS conf, any_value(o.ink) AS ink, any_value(o.word_count) AS word_count FROM o LEFT JOIN p ON p.video = o.video AND o.ts BETWEEN p.start AND p."end" GROUP BY o.video, o.obs_seq),
  up AS (SELECT DISTINCT ou.video, unit_seq, page_id FROM ou JOIN p ON p.video = ou.video AND least("end" + 2.0, p."end") - greatest(ou.start - 2.0, p.start) > 0),
  t AS (SELECT up.video, unit_seq, obs_seq, 1 AS tier FROM up JOIN a USING (video, page_id) UNION ALL SELECT ou.video, unit_seq, obs_seq, 2 FROM ou JOIN a ON a.video = ou.video AND ts BETWEEN start - 2.0 AND "end" + 2.0
   UNION ALL SELECT ou.video, unit_seq, obs_seq, 3 FROM ou JOIN a ON a.video = ou.video),
@@ -173,44 +184,43 @@ def _event_units(spark, sf_dir):
     return e.select(F.col("user_id").alias("video"), F.col("event_id").alias("unit_seq"), F.format_string("u-%06d", "event_id").alias("unit_id"), start.alias("start"), (start + 12.0).alias("end"), F.col("event_id"))
 
 
-def _unit_texts(spark, sf_dir, whole=False):
-    """Units with the text of a document (its start as in _SCORE unless ``whole``), next to the one that an observation at their time shows."""
-    d = views.read(spark, sf_dir, "documents")
+def _unit_texts(spark, sf_dir):
+    """Units with the text of a whole document, next to the one that an observation at their time shows."""
+    d = views.documents(spark, sf_dir)
     n = d.agg(F.count(F.lit(1)).alias("n"))
-    text = F.col("text") if whole else F.left("text", F.lit(160))
     u = _event_units(spark, sf_dir).crossJoin(F.broadcast(n)).withColumn("doc_id", F.pmod("event_id", "n"))
-    return u.join(d.select("doc_id", text.alias("text"), X.local_clean(text).alias("normalized")), "doc_id").withColumn("source", F.lit("asr")).drop("doc_id", "n", "event_id")
+    return u.join(d, "doc_id").withColumn("source", F.lit("asr")).drop("doc_id", "n", "event_id")
 
 
-def _paged(spark, sf_dir, whole=False):
+def _paged(spark, sf_dir):
     p = views.pages(spark, sf_dir)
-    return intervals.assign_pages(views.observations(spark, sf_dir, whole), p, 168.0), p
+    return intervals.assign_pages(views.observations(spark, sf_dir), p, 168.0), p
 
 
-@query("candidate_tiers", f"WITH {_O}, {_TOK}, {_P}, {_TIERS} SELECT video, unit_seq, tier, count(*) AS n FROM tiers GROUP BY video, unit_seq, tier")
+@query("candidate_tiers", f"WITH {_W}, {_P}, {_TIERS} SELECT video, unit_seq, tier, count(*) AS n FROM tiers GROUP BY video, unit_seq, tier")
 def candidate_tiers(spark, sf_dir):
     o, p = _paged(spark, sf_dir)
     rows = select.candidates(_event_units(spark, sf_dir), o, p, 2.0, 168.0)
     return rows.groupBy("video", "unit_seq", "tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SCORE = f"""uk AS (SELECT e.event_id AS unit_seq, list_distinct({sql_words('d.c')}) AS k FROM events e JOIN (SELECT doc_id, {sql_local('left(text, 160)')} AS c FROM documents) d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)),
- st AS (SELECT x.video, x.obs_seq, avg(m) * least(1.0, count(*) / 2.0) AS stability FROM (SELECT a.video, a.obs_seq, {sql_jaccard('a.k', 'b.k')} AS m FROM a JOIN a b ON a.video = b.video AND a.obs_seq <> b.obs_seq AND abs(a.ts - b.ts) <= 0.75 AND (a.page_id = '' OR b.page_id = '' OR a.page_id = b.page_id)) x WHERE m >= 0.82 GROUP BY x.video, x.obs_seq),
- f AS (SELECT t.video, t.unit_seq, t.obs_seq, CASE WHEN len(uk.k) = 0 THEN 0.0 ELSE len(list_intersect(uk.k, a.k)) / len(uk.k)::DOUBLE END AS cov, CASE WHEN len(a.k) = 0 THEN 0.0 ELSE (len(a.k) - len(list_intersect(uk.k, a.k))) / len(a.k)::DOUBLE END AS extra,
+_SCORE = f"""uk AS (SELECT e.event_id AS unit_seq, dn.doc_id, dn.nk FROM events e JOIN dn ON dn.doc_id = e.event_id % (SELECT count(*) FROM documents)),
+ st AS (SELECT x.video, x.obs_seq, avg(m) * least(1.0, count(*) / 2.0) AS stability FROM (SELECT a.video, a.obs_seq, {_alike('a.nk', 'b.nk')} AS m FROM a JOIN a b ON a.video = b.video AND a.obs_seq <> b.obs_seq AND abs(a.ts - b.ts) <= 0.75 AND (a.page_id = '' OR b.page_id = '' OR a.page_id = b.page_id) {_shared('a.doc_id', 'b.doc_id')}) x WHERE m >= 0.82 GROUP BY x.video, x.obs_seq),
+ f AS (SELECT t.video, t.unit_seq, t.obs_seq, CASE WHEN uk.nk = 0 THEN 0.0 ELSE coalesce(ov.c, 0) / uk.nk::DOUBLE END AS cov, CASE WHEN a.nk = 0 THEN 0.0 ELSE (a.nk - coalesce(ov.c, 0)) / a.nk::DOUBLE END AS extra,
   a.conf, a.ink, a.word_count, coalesce(st.stability, 0.0) AS stab, p.start IS NULL AS nopage, greatest(0.001, p."end" - p.start) AS d, least(a.ts - p.start, p."end" - a.ts) AS gap
-  FROM tiers t JOIN uk USING (unit_seq) JOIN a USING (video, obs_seq) LEFT JOIN st USING (video, obs_seq) LEFT JOIN p ON p.video = a.video AND p.page_id = a.page_id),
+  FROM tiers t JOIN uk USING (unit_seq) JOIN a USING (video, obs_seq) {_shared('uk.doc_id', 'a.doc_id')} LEFT JOIN st USING (video, obs_seq) LEFT JOIN p ON p.video = a.video AND p.page_id = a.page_id),
  sc AS (SELECT video, unit_seq, obs_seq, cov * 80.0 + conf * 18.0 + ink * 34.0 + stab * 20.0 + CASE WHEN nopage THEN 0.5 ELSE greatest(0.0, least(1.0, gap / least(1.2, greatest(0.25, d * 0.22::DOUBLE)))) END * 4.0 + least(word_count, 30) * 0.5 - extra * 30.0
   - CASE WHEN NOT nopage AND d < 0.75 THEN 20.0 ELSE 0.0 END - CASE WHEN NOT nopage AND gap < least(0.35, d * 0.2::DOUBLE) THEN 8.0 ELSE 0.0 END AS score FROM f)"""
 
 
-@query("select_top1", f"WITH {_O}, {_TOK}, {_P}, {_TIERS}, {_SCORE} SELECT video, unit_seq, arg_max(obs_seq, row(round(score, 6), -obs_seq)) AS obs_seq, round(max(score), 4) AS score FROM sc GROUP BY video, unit_seq")
+@query("select_top1", f"WITH {_W}, {_P}, {_TIERS}, {_SCORE} SELECT video, unit_seq, arg_max(obs_seq, row(round(score, 6), -obs_seq)) AS obs_seq, round(max(score), 4) AS score FROM sc GROUP BY video, unit_seq")
 def select_top1(spark, sf_dir):
     """Page join, candidate tiers, stability and score with token measures; the best observation of each unit."""
     o, p = _paged(spark, sf_dir)
     u = _unit_texts(spark, sf_dir)
-    rated = select.page_edges(o.join(select.stability(o, select.jaccard_of), ["video", "obs_seq"]), p)
-    pairs = select.candidates(u, o, p, 2.0, 168.0).join(u.select("video", "unit_seq", F.col("normalized").alias("unit_normalized")), ["video", "unit_seq"])
-    rows = select.score(pairs.join(rated, ["video", "obs_seq"]), select.token_coverage, select.token_extra)
+    rated = select.page_edges(o.join(select.stability(o, X.jaccard, on="tokens"), ["video", "obs_seq"]), p)
+    pairs = select.candidates(u, o, p, 2.0, 168.0).join(u.select("video", "unit_seq", F.col("tokens").alias("unit_tokens")), ["video", "unit_seq"])
+    rows = select.score(pairs.join(rated, ["video", "obs_seq"]), select.set_coverage, select.set_extra, "tokens")
     best = select.best_per_unit(rows.withColumn("exact", F.col("score")).withColumn("score", F.round("score", 6)))
     return best.select("video", "unit_seq", "obs_seq", F.round("exact", 4).alias("score"))
 
@@ -218,8 +228,8 @@ def select_top1(spark, sf_dir):
 @query("select_full")
 def select_full(spark, sf_dir):
     """The whole selection with fuzzy measures: best frame, text choice, coalesced frames and pruned repeats."""
-    o, p = _paged(spark, sf_dir, whole=True)
-    chosen = select.selected_text(select.select_frames(_unit_texts(spark, sf_dir, whole=True), o, p))
+    o, p = _paged(spark, sf_dir)
+    chosen = select.selected_text(select.select_frames(_unit_texts(spark, sf_dir), o, p))
     rows = chosen.withColumn("frame", F.concat_ws("-", "video", "obs_seq")).withColumn("sel_seq", F.col("unit_seq"))
     return folds.prune_selections(select.coalesce_same_frame(rows)).select("video", "unit_id", "ts", "page_id", "status", F.round("score", 6).alias("score"))
 
@@ -255,15 +265,15 @@ def missing_anti_join(spark, sf_dir):
     return select.missing_units(own, u.where("source = 'ocr-temporal'"), select.jaccard_of).select("video", "unit_id", "source")
 
 
-_NEAR = f"""WITH {_O}, {_TOK}, q AS (SELECT *, obs_seq % 7 = 0 AS ads, (obs_seq % 16) / 16.0::DOUBLE AS noise FROM o2)
+_NEAR = f"""WITH {_W}, q AS (SELECT *, obs_seq % 7 = 0 AS ads, (obs_seq % 16) / 16.0::DOUBLE AS noise FROM o)
  SELECT a.video, a.obs_seq, arg_min(b.obs_seq, row(b.noise, CASE WHEN b.ts > a.ts THEN 1 ELSE 0 END, abs(b.ts - a.ts), b.obs_seq)) AS nearest_seq FROM q a JOIN q b ON a.video = b.video AND a.obs_seq <> b.obs_seq AND NOT b.ads AND a.page_id = b.page_id AND abs(a.ts - b.ts) <= 24.0
- WHERE {sql_jaccard('b.k', 'a.k')} >= 0.02 GROUP BY a.video, a.obs_seq"""
+ {_shared('a.doc_id', 'b.doc_id')} WHERE {_alike('a.nk', 'b.nk')} >= 0.1 GROUP BY a.video, a.obs_seq"""
 
 
 @query("nearest_clean_frame", _NEAR)
 def nearest_clean_frame(spark, sf_dir):
     o = views.observations(spark, sf_dir).withColumn("has_ads", F.col("obs_seq") % 7 == 0).withColumn("noise", (F.col("obs_seq") % 16) / 16.0)
-    return select.nearest_clean(o, select.jaccard_of, 24.0, 0.02)
+    return select.nearest_clean(o, X.jaccard, 24.0, 0.1, "tokens")
 
 
 @query("subtitle_dedupe", f"""WITH {_U}, d AS (SELECT video, unit_seq, CASE WHEN unit_seq % 4 < 3 THEN 'same text' ELSE normalized END AS normalized, start, start + 9.75 + (unit_seq % 2) AS "end" FROM u),
@@ -313,5 +323,5 @@ def story_units(spark, sf_dir):
 
 @query("refined_units")
 def refined_units(spark, sf_dir):
-    u = _unit_texts(spark, sf_dir, whole=True)
-    return select.refine_with_ocr(u, _paged(spark, sf_dir, whole=True)[0], 12.0, 168.0).select("video", "unit_id", "source", F.md5(F.col("normalized").cast("binary")).alias("normalized"))
+    u = _unit_texts(spark, sf_dir)
+    return select.refine_with_ocr(u, _paged(spark, sf_dir)[0], 12.0, 168.0).select("video", "unit_id", "source", F.md5(F.col("normalized").cast("binary")).alias("normalized"))

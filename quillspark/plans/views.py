@@ -45,23 +45,40 @@ def _hours(ts):
 HOURS = "(floor(date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) / 225.0) / 16.0)"
 
 
-def observations(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """An event is an observation of its user's video, in hours; the text is a whole document, or its start as in OBSERVATIONS."""
-    e, d = read(spark, sf_dir, "events"), read(spark, sf_dir, "documents")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text, normalized and tokens (hashes of the distinct words) of whole texts, each made once per document."""
+    # dealt by the key of the join that follows, so few large files are cleaned by all cores and nothing is dealt twice
+    raw = read(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    d = raw.withColumn("normalized", X.local_clean(F.col("text")))
+    return d.withColumn("tokens", F.transform(X.token_set(F.col("normalized")), lambda t: F.xxhash64(t)))
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event is an observation of its user's video, in hours; the text is a whole document."""
+    e, d = read(spark, sf_dir, "events"), documents(spark, sf_dir)
     n = d.agg(F.count(F.lit(1)).alias("n"))
     rows = e.crossJoin(F.broadcast(n)).select("event_id", F.col("user_id").alias("video"), _hours(F.col("ts")).alias("ts"), F.col("value"), F.pmod("event_id", "n").alias("doc_id"))
-    text = F.col("text") if whole else F.left("text", F.lit(160))
-    joined = rows.join(d.select("doc_id", text.alias("text"), X.local_clean(text).alias("normalized")), "doc_id")
+    joined = rows.join(d.withColumn("word_count", X.word_count(F.col("normalized"))), "doc_id")
     conf = F.pmod(F.col("event_id") * 37, F.lit(128)) / 128.0
     ink = F.pmod(F.col("event_id") * 53, F.lit(128)) / 128.0
     page = F.when(F.pmod("event_id", F.lit(5)) == 0, "").otherwise(F.concat(F.lit("p"), F.floor(F.col("ts") / 48).cast("long")))
-    return joined.select("video", F.col("event_id").alias("obs_seq"), "ts", "text", "normalized", conf.alias("conf"), ink.alias("ink"), X.word_count(F.col("normalized")).alias("word_count"), page.alias("page_id"))
+    return joined.select("video", F.col("event_id").alias("obs_seq"), "ts", "text", "normalized", "tokens", conf.alias("conf"), ink.alias("ink"), "word_count", page.alias("page_id"))
+
 
+#: Words of whole documents: dn has the number of words and of distinct ones, ov how many distinct words two documents share.
+WORDS = f"""d0 AS MATERIALIZED (SELECT doc_id, {sql_words(sql_local('text'))} AS ws FROM documents),
+ tk AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(ws)) AS w FROM d0), dn AS MATERIALIZED (SELECT doc_id, len(list_distinct(ws)) AS nk, len(ws) AS word_count FROM d0)"""
+SHARED = "ov AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM tk a JOIN tk b USING (w) GROUP BY a.doc_id, b.doc_id)"
 
-OBSERVATIONS = f"""SELECT e.user_id AS video, e.event_id AS obs_seq, {HOURS} AS ts, left(d.text, 160) AS text, d.normalized,
-  ((e.event_id * 37) % 128) / 128.0::DOUBLE AS conf, ((e.event_id * 53) % 128) / 128.0::DOUBLE AS ink, len({sql_words('d.normalized')}) AS word_count,
+
+def _observed(docs: str, columns: str) -> str:
+    return f"""SELECT e.user_id AS video, e.event_id AS obs_seq, {HOURS} AS ts, {columns}
+  ((e.event_id * 37) % 128) / 128.0::DOUBLE AS conf, ((e.event_id * 53) % 128) / 128.0::DOUBLE AS ink,
   CASE WHEN e.event_id % 5 = 0 THEN '' ELSE 'p' || CAST(floor({HOURS} / 48) AS BIGINT) END AS page_id
-  FROM events e JOIN (SELECT doc_id, text, {sql_local('left(text, 160)')} AS normalized FROM documents) d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)"""
+  FROM events e JOIN {docs} d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)"""
+
+
+OBSERVATIONS, OBSERVED_WORDS = _observed("documents", ""), _observed("dn", "d.doc_id, d.nk, d.word_count,")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

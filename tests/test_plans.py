@@ -83,4 +83,4 @@ def test_whole_texts(spark, long_documents):
 
     # alike over their first 160 characters, so one session; not as whole texts
     assert plans.sessionise_full(spark, long_documents).count() == 2
-    assert {r["n"] for r in plans._unit_texts(spark, long_documents, whole=True).select(F.length("text").alias("n")).collect()} == {162 + 640, 162 + 920}
+    assert {r["n"] for r in plans._unit_texts(spark, long_documents).select(F.length("text").alias("n")).collect()} == {162 + 640, 162 + 920}
