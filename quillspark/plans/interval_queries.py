@@ -325,3 +325,17 @@ def story_units(spark, sf_dir):
 def refined_units(spark, sf_dir):
     u = _unit_texts(spark, sf_dir)
     return select.refine_with_ocr(u, _paged(spark, sf_dir)[0], 12.0, 168.0).select("video", "unit_id", "source", F.md5(F.col("normalized").cast("binary")).alias("normalized"))
+
+
+@query("run_local")
+def run_local(spark, sf_dir):
+    """The whole local plan over conversations: each turn is a unit, the even ones are seen on frames too."""
+    from ..operators.options import LocalOptions
+    from . import local
+
+    u, s = _us(spark, sf_dir)
+    seen = u.where("unit_seq % 2 = 0")
+    o = seen.select("video", F.col("unit_seq").alias("obs_seq"), F.col("start").alias("ts"), "text", "normalized", F.lit(0.9).alias("conf"), F.lit(0.8).alias("ink"), X.word_count(F.col("normalized")).alias("word_count"), F.lit("").alias("page_id"))
+    p = u.select("video", F.col("unit_seq").alias("page_seq"), F.format_string("page-%04d", "unit_seq").alias("page_id"), "start", (F.col("start") + 10.0).alias("end"), F.lit("scene").alias("source"))
+    rows = local.run(u, o, p, s, LocalOptions())
+    return rows.select("video", "unit_id", "ts", "output", "status", F.round("score", 6).alias("score"), F.md5(F.col("chosen").cast("binary")).alias("chosen"))
