@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy
 from ..functions import text as X
 from ..functions import words as W
-from ..sources import names, vtt
+from ..sources import cache, lookup, names, vtt
 from .registry import NOISY, listed, lit, query, sql_any, sql_jaccard, sql_legacy, sql_local, sql_tokens_local, sql_words
 from .views import read
 
@@ -258,3 +258,53 @@ def rollup_counts(spark, sf_dir):
 def longest_per_language(spark, sf_dir):
     w = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
     return read(spark, sf_dir, "documents").withColumn("r", F.row_number().over(w)).where("r <= 3").select("lang", "doc_id", "n_chars")
+
+
+def _listing(spark, sf_dir):
+    """Pages as files of two folders: videos and captions of ten ids."""
+    k, end = F.col("page_id"), F.when(F.col("page_id") % 4 == 0, ".mp4.part").when(F.col("page_id") % 2 == 0, ".mp4").when(F.col("page_id") % 3 == 0, ".en.vtt").otherwise(".orig.vtt")
+    name = F.concat(F.when(k % 5 == 0, F.lit("")).otherwise(F.lit("a-clip-")), F.lit("v-"), (k % 10).cast("string"), end)
+    return read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("f"), (k % 3).cast("string")).alias("folder"), name.alias("name"), (k % 7).alias("size"), (k * 37 % 1009).alias("modified"))
+
+
+_FILES = """f AS (SELECT page_id, 'f' || page_id % 3 AS folder, CASE WHEN page_id % 5 = 0 THEN '' ELSE 'a-clip-' END || 'v-' || page_id % 10 || CASE WHEN page_id % 4 = 0 THEN '.mp4.part' WHEN page_id % 2 = 0 THEN '.mp4' WHEN page_id % 3 = 0 THEN '.en.vtt' ELSE '.orig.vtt' END AS name, page_id % 7 AS size, page_id * 37 % 1009 AS modified FROM pages),
+ ids AS (SELECT DISTINCT 'v-' || page_id % 12 AS video_id FROM pages), c AS (SELECT *, CASE WHEN name LIKE '%.en%' THEN 2 ELSE 0 END - CASE WHEN name LIKE '%.orig.%' THEN 1 ELSE 0 END AS rank FROM f WHERE name LIKE '%.vtt' AND size > 0)"""
+
+
+def _ids(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select(F.concat(F.lit("v-"), (F.col("page_id") % 12).cast("string")).alias("video_id")).distinct()
+
+
+@query("cached_videos", f"WITH {_FILES} SELECT video_id, max_by(name, row(modified, name)) AS name FROM ids LEFT JOIN f ON name LIKE '%.mp4' AND size > 0 AND (name LIKE '%-' || video_id || '.%' OR name LIKE video_id || '.%') GROUP BY video_id")
+def cached_videos(spark, sf_dir):
+    return lookup.cached_videos(_ids(spark, sf_dir), _listing(spark, sf_dir)).select("video_id", "name")
+
+
+@query("cached_captions", f"WITH {_FILES} SELECT video_id, max_by(name, row(rank, modified, name)) AS caption FROM ids LEFT JOIN c ON name LIKE '%-' || video_id || '%.vtt' GROUP BY video_id")
+def cached_captions(spark, sf_dir):
+    return lookup.cached_captions(_ids(spark, sf_dir), _listing(spark, sf_dir))
+
+
+@query("captions_beside", f"WITH {_FILES}, v AS (SELECT DISTINCT folder, name FROM f WHERE name LIKE '%.mp4') SELECT v.folder, v.name, max_by(c.name, row(rank, modified, c.name)) AS caption FROM v LEFT JOIN c ON c.folder = v.folder AND starts_with(c.name, left(v.name, len(v.name) - 4)) GROUP BY v.folder, v.name")
+def captions_beside(spark, sf_dir):
+    files = _listing(spark, sf_dir)
+    return lookup.captions_beside(files.where(names.is_video(F.col("name"))).select("folder", "name").distinct(), files)
+
+
+@query("expanded_sources", f"""WITH {_FILES}, s AS (SELECT DISTINCT CASE WHEN page_id % 4 = 0 THEN url WHEN page_id % 4 = 1 THEN 'f' || page_id % 5 ELSE folder || '/' || name END AS source FROM pages JOIN f USING (page_id)), v AS (SELECT DISTINCT folder, name FROM f WHERE name LIKE '%.mp4')
+ SELECT source, 'url' AS kind, NULL AS name FROM s WHERE regexp_matches(source, '^https?://[^/?#]+') UNION ALL SELECT source, 'file', name FROM s JOIN v ON source = folder || '/' || name UNION ALL SELECT source, 'folder', name FROM s JOIN v ON source = folder
+ UNION ALL SELECT source, 'unsupported', NULL FROM s WHERE NOT regexp_matches(source, '^https?://[^/?#]+') AND source NOT IN (SELECT folder || '/' || name FROM v) AND source NOT IN (SELECT folder FROM v)""")
+def expanded_sources(spark, sf_dir):
+    k, files = F.col("page_id"), _listing(spark, sf_dir)
+    source = F.when(k % 4 == 0, F.col("url")).when(k % 4 == 1, F.concat(F.lit("f"), (k % 5).cast("string"))).otherwise(F.concat_ws("/", "folder", "name"))
+    sources = files.join(read(spark, sf_dir, "pages").select("page_id", "url"), "page_id").select(source.alias("source"))
+    return lookup.expand_sources(sources, files.select("folder", "name").distinct()).select("source", "kind", "name")
+
+
+@query("cached_observations", "SELECT doc_id, n_chars::DOUBLE AS timestamp, 0 AS word_count, '' AS page_id, md5(text) AS text, 'frame-' || doc_id AS frame_path FROM documents WHERE text IS NOT NULL")
+def cached_observations(spark, sf_dir):
+    """Observations as cached JSON with optional fields left out, read back for another frame."""
+    rows = read(spark, sf_dir, "documents").where("text is not null")
+    old = F.struct(F.lit("old").alias("frame_path"), F.col("n_chars").cast("double").alias("timestamp"), "text", F.lit("").alias("normalized_text"))
+    back = rows.select("doc_id", cache.decode(cache.encode(old), F.concat(F.lit("frame-"), F.col("doc_id").cast("string"))).alias("o"))
+    return back.select("doc_id", "o.timestamp", "o.word_count", "o.page_id", F.md5(F.col("o.text").cast("binary")).alias("text"), "o.frame_path")

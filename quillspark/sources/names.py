@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Accepted video file endings, and unfinished downloads.
-VIDEO_EXTENSIONS = [".mp4", ".mkv", ".mov", ".webm", ".m4v", ".avi", ".mpg", ".mpeg"]
-UNFINISHED = [".part", ".ytdl", ".temp", ".tmp"]
+VIDEO_EXTENSIONS = [".avi", ".m4v", ".mkv", ".mov", ".mp4", ".mpeg", ".mpg", ".webm"]
+UNFINISHED = [".description", ".info.json", ".json", ".part", ".temp", ".tmp", ".webp", ".ytdl"]
 
 
 def is_url(c: Column) -> Column:

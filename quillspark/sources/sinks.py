@@ -13,9 +13,10 @@ def _three(c: Column) -> Column:
 def review_rows(selected: DataFrame) -> DataFrame:
     """Rows of the review CSV, all text: numbered by time in each video, numbers with three places, warnings joined by ';'."""
     n = F.row_number().over(Window.partitionBy("video").orderBy("ts", "sel_seq"))
+    source = F.col("output_source") if "output_source" in selected.columns else F.lit("original-frame")
     return selected.select(
         "video", n.cast("string").alias("index"), _three(F.col("ts")).alias("timestamp"), "unit_id", F.format_string("frame-%04d.jpg", n).alias("image"), "transcript",
-        F.col("chosen").alias("normalized_text"), _three(F.col("score")).alias("score"), "status", F.array_join("warnings", ";").alias("warnings"), "page_id",
+        F.col("chosen").alias("normalized_text"), _three(F.col("score")).alias("score"), "status", F.array_join("warnings", ";").alias("warnings"), source.alias("output_source"), "page_id",
     )
 
 

@@ -84,3 +84,32 @@ def test_whole_texts(spark, long_documents):
     # alike over their first 160 characters, so one session; not as whole texts
     assert plans.sessionise_full(spark, long_documents).count() == 2
     assert {r["n"] for r in plans._unit_texts(spark, long_documents).select(F.length("text").alias("n")).collect()} == {162 + 640, 162 + 920}
+
+
+def test_lookups(spark):
+    from quillspark.sources import lookup
+
+    rows = [("d", "a-x1.mp4", 5, 1), ("d", "x1.mkv", 5, 3), ("d", "a-x1.mp4.part", 5, 9), ("d", "b-x1.webm", 0, 8), ("d", "a-x1.en.vtt", 2, 1), ("d", "a-x1.vtt", 2, 5), ("d", "a-x1.en.orig.vtt", 2, 6), ("d/e", "y.mov", 1, 1)]
+    files = spark.createDataFrame(rows, "folder string, name string, size int, modified int")
+    ids = spark.createDataFrame([("x1",), ("x",)], "video_id string")
+    assert {r["video_id"]: r["name"] for r in lookup.cached_videos(ids, files).collect()} == {"x1": "x1.mkv", "x": None}
+    assert {r["video_id"]: r["caption"] for r in lookup.cached_captions(ids, files).collect()} == {"x1": "a-x1.en.vtt", "x": "a-x1.en.vtt"}
+    beside = lookup.captions_beside(spark.createDataFrame([("d", "a-x1.mp4"), ("d/e", "y.mov")], "folder string, name string"), files)
+    assert {r["name"]: r["caption"] for r in beside.collect()} == {"a-x1.mp4": "a-x1.en.vtt", "y.mov": None}
+    sources = spark.createDataFrame([("d/",), ("d/e/y.mov",), ("http://a/b/",), ("nothing",)], "source string")
+    kinds = lambda recursive: sorted((r["source"], r["kind"], r["name"] or "") for r in lookup.expand_sources(sources, files, recursive).collect())
+    assert kinds(False) == [("d", "folder", "a-x1.mp4"), ("d", "folder", "b-x1.webm"), ("d", "folder", "x1.mkv"), ("d/e/y.mov", "file", "y.mov"), ("http://a/b/", "url", ""), ("nothing", "unsupported", "")]
+    assert ("d", "folder", "y.mov") in kinds(True)
+
+
+def test_cached_observations(spark):
+    from quillspark.sources import cache
+
+    box = '{"text": "a", "confidence": 0.5, "x": 1, "y": 2, "width": 3, "height": 4, "page_width": 5, "page_height": 6}'
+    rows = spark.createDataFrame([(1, f'{{"timestamp": 2.5, "text": "A", "normalized_text": "a", "boxes": [{box}]}}'), (2, "null"), (3, None)], "id int, json string")
+    got = {r["id"]: r["o"] for r in rows.select("id", cache.decode(F.col("json"), F.lit("new.jpg")).alias("o")).collect()}
+    assert got[2] is None and got[3] is None
+    assert (got[1]["frame_path"], got[1]["timestamp"], got[1]["avg_confidence"], got[1]["boxes"][0]["ink_score"], got[1]["ad_boxes"]) == ("new.jpg", 2.5, 0.0, 0.0, [])
+    keys = spark.createDataFrame([(1,), (2,)], "k int")
+    held = spark.createDataFrame([(1, 2, "old", 1), (1, 2, "new", 5), (2, 1, "x", 1)], "k int, version int, payload string, written int")
+    assert sorted((r["k"], r["hit"], r["payload"]) for r in cache.lookup(keys, held, ["k"]).collect()) == [(1, True, "new"), (2, False, None)]
