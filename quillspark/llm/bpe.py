@@ -52,6 +52,7 @@ _NEWER_CAPITALS = """
 """.split()
 _LOWER = {int(c, 16): int(s, 16) for c, s in zip(_NEWER_CAPITALS[::2], _NEWER_CAPITALS[1::2])}
 _LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_CAPITALS = regex.compile("[" + "".join(map(chr, _LOWER)) + "]")
 _NEWER_CLASS = regex.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in _NEWER.split()) + "]")
 _NONE = np.int32(2**31 - 1)
 _ROWS = 8192
@@ -164,8 +165,12 @@ class WordBpe:
         return np.array([p for p, ok in zip(part, live) if ok], dtype=np.int32)
 
     def pre_tokens(self, piece: str) -> list[str]:
-        """The pattern's matches, with code points newer than the library's tables as symbols."""
-        if piece.isascii() or not _NEWER_CLASS.search(piece):
+        """The pattern's matches, with capitals and symbols as the library's tables have them."""
+        if piece.isascii():
+            return self.pattern.findall(piece)
+        if _CAPITALS.search(piece):
+            piece = piece.translate(_LOWER)
+        if not _NEWER_CLASS.search(piece):
             return self.pattern.findall(piece)
         known = _NEWER_CLASS.sub("\ufffd", piece)
         return [piece[m.start() : m.end()] for m in self.pattern.finditer(known)]
@@ -203,7 +208,6 @@ class WordBpe:
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a capital sigma has one lower form, whatever follows
-            text = text.translate(_LOWER)
         text = text.lower()
         # The four separators that Python's split() knows and the pattern doesn't are symbols here.
         return _SPACES.findall(text) if _SEPARATORS.search(text) else text.split()
