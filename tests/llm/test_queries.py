@@ -100,6 +100,24 @@ def test_language_model_is_the_same_at_any_size(docs):
     assert of(lm.score(docs, sent, counts)) == of(lm.score(docs, probed, same))
 
 
+def test_blocks_to_a_large_filter_are_few(spark, monkeypatch):
+    """Texts of 9 MB ask for blocks of megabytes over the ranges: as many as packs times ranges, which must not grow with a text's square."""
+    asked = []
+    monkeypatch.setattr(lm, "_levels", lambda *args, f=lm._levels: asked.append(f(*args)) or asked[-1])
+    docs = spark.range(90, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('w', id, ' x', id % 7, ' '), 100000 div length(concat('w', id, ' x', id % 7, ' ')))").alias("text"))
+    model, counts = lm.train(docs, filter_bytes=0)
+    assert lm.score(docs, model, counts).count() == 90
+    assert asked[-1].count() <= 3 * lm.ORDER * lm.LEAST_RANGES
+    large = spark.range(64, numPartitions=4).select(F.expr("repeat('a', 1 << 20)").alias("text"))
+    assert lm._parts(large) == lm.LEAST_RANGES
+
+
+def test_blocks_keep_their_hashes():
+    hashes = np.sort(np.random.default_rng(4).integers(0, 2**63, 1000, dtype=np.uint64))
+    planes = [lm._planes(hashes[:400]), lm._planes(hashes[400:400]), lm._planes(hashes[400:])]
+    assert (lm._hashes(planes) == hashes).all() and len(lm._hashes([])) == 0
+
+
 def test_bigrams_seen_once_are_stored(spark):
     model, merged = lm.train(spark.createDataFrame([(1, "one two three")], "doc_id long, text string"))
     assert lm.ORDER == 2 and merged.where("kind = 2").agg(F.sum("distinct")).first()[0] == 4
