@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -112,6 +113,24 @@ def test_blocks_to_a_large_filter_are_few(spark, monkeypatch):
     assert lm._parts(large) == lm.LEAST_RANGES
 
 
+@pytest.mark.parametrize("bounds", [{}, {"filter_bytes": 0}])
+def test_weights_come_from_all_training_texts(spark, bounds):
+    """Words c are followed by d in texts outside of what was once a sample of 2000, by words seen once in it."""
+    sampled = F.expr("pmod(xxhash64(id, 9), 1000000) < 500000")
+    place = F.row_number().over(Window.partitionBy(sampled).orderBy("id"))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), sampled.alias("in"), F.pmod(place, F.lit(100)).cast("string").alias("k"))
+    docs = docs.select("doc_id", F.concat(F.lit("c"), "k", F.when(F.col("in"), F.concat(F.lit(" x"), "doc_id")).otherwise(F.concat(F.lit(" d"), "k"))).alias("text"))
+    times = [r["count"] for r in docs.groupBy(F.split("text", " ")[0]).count().collect()]
+    model, counts = lm.train(docs, **bounds)
+    levels = np.unique(lm.levels(np.array(times)))
+    assert len(times) == 100 and levels.max() < lm._BINS - 1 and (model.weights[2][levels] >= 0.2).all()
+    assert lm._tally(lm._read(docs.withColumn("learn", F.lit(True)), model, counts))[1].sum() == 3 * 4000
+    learn = F.col("doc_id") % 5 != 1
+    some, held = lm.train(docs.where(learn), **bounds)
+    of = lambda rows: sorted((*r[:4], round(r["base_score"], 6), round(r["score"], 6)) for r in rows.collect())
+    assert of(lm.train_and_score(docs.withColumn("learn", learn), **bounds)) == of(lm.score(docs, some, held))
+
+
 def test_blocks_keep_their_hashes():
     hashes = np.sort(np.random.default_rng(4).integers(0, 2**63, 1000, dtype=np.uint64))
     planes = [lm._planes(hashes[:400]), lm._planes(hashes[400:400]), lm._planes(hashes[400:])]
