@@ -131,6 +131,13 @@ def test_weights_come_from_all_training_texts(spark, bounds):
     assert of(lm.train_and_score(docs.withColumn("learn", learn), **bounds)) == of(lm.score(docs, some, held))
 
 
+def test_files_of_packs_hold_few(spark):
+    key = "spark.sql.files.maxRecordsPerFile"
+    before = spark.conf.get(key, None)
+    kept = lm._kept(spark.range(10, numPartitions=1), "few", lm.PACKS_PER_FILE)
+    assert kept.count() == 10 and len(kept.inputFiles()) == 3 and spark.conf.get(key, None) == before
+
+
 def test_blocks_keep_their_hashes():
     hashes = np.sort(np.random.default_rng(4).integers(0, 2**63, 1000, dtype=np.uint64))
     planes = [lm._planes(hashes[:400]), lm._planes(hashes[400:400]), lm._planes(hashes[400:])]
