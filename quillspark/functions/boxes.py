@@ -25,7 +25,7 @@ class Box:
         self.text, self.confidence, self.x, self.y = get("text"), get("confidence"), get("x"), get("y")
         self.width, self.height, self.page_width, self.page_height = get("width"), get("height"), get("page_width"), get("page_height")
         self.right, self.bottom = self.x + self.width, self.y + self.height
-        self.clean = X.local_clean(self.text) if clean is None else clean
+        self.clean = X.local_clean_inline(self.text) if clean is None else clean
         self.n = X.word_count(self.clean)
 
 

@@ -1,9 +1,9 @@
 """Text normalisation and token predicates as column expressions.
 
 Two families, because their rules differ: ``local_*`` folds accents into ASCII
-and keeps numbers; ``legacy_*`` lets accents split words and drops numbers.  All
-are built-in expressions, so they stay in the JVM and null stays null unless said
-otherwise.
+and keeps numbers; ``legacy_*`` lets accents split words and drops numbers.  Whole
+texts are cleaned in Arrow batches (``cleaning``); the rest are built-in
+expressions, so they stay in the JVM.  Null stays null unless said otherwise.
 """
 
 from __future__ import annotations
@@ -12,9 +12,12 @@ import functools
 import json
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import cleaning
 from . import words as W
 
 
@@ -59,8 +62,6 @@ def ascii_fold(c: Column) -> Column:
 
 #: Around a word between spaces.
 _FROM, _TO = "(?<![^ ])", "(?![^ ])"
-#: Words that both families drop: letters mixed with digits, and one character that is no word.
-_NO_WORDS = "[0-9]+[a-z][a-z0-9']*|[a-z'][a-z0-9']*?[0-9][a-z0-9']*|[0-9][0-9']*'[0-9']*[a-z][a-z0-9']*|[b-hj-z0-9]"
 
 
 def _kept_words(c: Column, dropped: list[str]) -> Column:
@@ -68,11 +69,12 @@ def _kept_words(c: Column, dropped: list[str]) -> Column:
     # spaces are left alone until the end: each match costs
     apart = F.regexp_replace(c, "[^a-z0-9' ]+", " ")
     bare = let(apart, lambda x: F.when(x.contains("'"), F.regexp_replace(x, f"'+{_TO}|{_FROM}'+", "")).otherwise(x))
-    kept = F.regexp_replace(bare, f"{_FROM}(?:{'|'.join([*dropped, _NO_WORDS])}){_TO}", "")
+    kept = F.regexp_replace(bare, f"{_FROM}(?:{'|'.join([*dropped, cleaning.NO_WORDS])}){_TO}", "")
     return F.btrim(F.regexp_replace(kept, "  +", " "))
 
 
-def local_clean(c: Column) -> Column:
+def local_clean_inline(c: Column) -> Column:
+    """local_clean() of built-in functions, for short texts and inside lambdas."""
     text = F.regexp_replace(F.lower(ascii_fold(straight_quotes(c))), r"(?<=[0-9]),(?=[0-9])", "")
     table = F.from_json(F.lit(json.dumps({k: " ".join(v) for k, v in W.FUSED_TOKENS.items()})), "map<string,string>")
     fused = "(^| )(" + "|".join(W.FUSED_TOKENS) + ")( |$)"
@@ -80,11 +82,31 @@ def local_clean(c: Column) -> Column:
     return let(_kept_words(text, W.LOCAL_IGNORE_WORDS), lambda j: F.when(j.rlike(fused), split(j)).otherwise(j))
 
 
-def legacy_clean(c: Column) -> Column:
+def _cleaned(f):
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else f(x) for x in texts], dtype="object")
+
+    return run
+
+
+_local_col, _legacy_col = _cleaned(cleaning.local), _cleaned(cleaning.legacy)
+
+
+def local_clean(c: Column) -> Column:
+    return _local_col(c)
+
+
+def legacy_clean_inline(c: Column) -> Column:
+    """legacy_clean() of built-in functions."""
     words = _kept_words(F.lower(straight_quotes(c)), [*W.LEGACY_IGNORE_WORDS, "[0-9]+"])
     return F.regexp_replace(words, "^(i am not scared(?: .*)?) we$", "$1")
 
 
+def legacy_clean(c: Column) -> Column:
+    return _legacy_col(c)
+
+
 def tokens(clean: Column) -> Column:
     """Words of a cleaned text; none for the empty text."""
     return F.filter(F.split(clean, " "), lambda t: t != "")

@@ -35,6 +35,22 @@ def test_legacy_clean(spark):
     assert one(spark, X.legacy_clean(F.lit("I am not scared of it we"))) == "i am not scared of it"
 
 
+def test_clean_is_the_inline_form_for_every_character(spark):
+    g, odd = random.Random(3), [*"abiwexyz019,,.-’‘“”éÉñßﬁÅKİΣςⅧ½１，\n\t\x00", *"''''"]
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}b {chr(c)}1 " for c in codes[k : k + 512]) for k in range(0, len(codes), 512)]
+    texts += ["".join(g.choice(odd) for _ in range(g.randint(0, 40))) for _ in range(5000)] + ["I am not scared of 12 we", "I am not scared we!", "INTHE BEARPOO,1,2,3", None]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for fast, plain in ((X.local_clean, X.local_clean_inline), (X.legacy_clean, X.legacy_clean_inline)):
+        assert d.where(~fast(F.col("t")).eqNullSafe(plain(F.col("t")))).count() == 0
+
+
+def test_clean_of_whole_texts_uses_no_regular_expressions(spark):
+    for clean in (X.local_clean, X.legacy_clean):
+        plan = spark.range(1).select(F.col("id").cast("string").alias("t")).select(clean(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp" not in plan  # their cost a match was most of the query's
+
+
 @pytest.mark.parametrize("text", ["Popular Titles Age Elementary", "Ask your grown-up and start exploring more fun stories"])
 def test_reject(spark, text):
     assert one(spark, X.local_reject(X.local_clean(F.lit(text))))
