@@ -122,3 +122,19 @@ def test_options():
     assert LegacyOptions().most_gap == 2.5
     with pytest.raises(ValueError):
         LocalOptions(quality="best")
+
+
+def test_word_matches_need_no_difflib(monkeypatch):
+    g = random.Random(6)
+    words = ["".join(g.choice("abc") for _ in range(g.randint(1, 9))) for _ in range(150)] + ["hat", "that", "é" * 64, "x" * 70, "x" * 69 + "y", "a" * 300]
+    want = {(a, b): SequenceMatcher(None, a, b).ratio() for a in words for b in words}
+    least = lambda a, b: fuzzy.MATCH_AT.get(max(min(len(a), len(b)), 1), fuzzy.LONG_MATCH)
+    tail = lambda a, b: sorted((len(a), len(b))) == [3, 4] and (a.endswith(b) or b.endswith(a))
+    found = fuzzy.matches(words, words)
+    for k, a in enumerate(words):
+        assert found[k] == [j for j, b in enumerate(words) if a == b or tail(a, b) or want[a, b] >= least(a, b)]
+    fuzzy.ratio.cache_clear(), fuzzy.words_match.cache_clear()
+    monkeypatch.setattr(fuzzy, "SequenceMatcher", None)  # one for each pair of words took most of the time
+    short = [w for w in words if len(w) <= 24]
+    assert all(fuzzy.ratio(a, b) == want[a, b] for a in short for b in short if a != b)
+    fuzzy.coverage(" ".join(short), " ".join(short[::-2]))
